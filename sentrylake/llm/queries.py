@@ -6,10 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, simhash, tokenstore
+from . import decontaminate, packing, pii, simhash, tokenstore
 from .common import shared_dir, table, tokenizer_path
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
     tokenstore.write_store(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end=2, vocabulary=49_408)
@@ -28,5 +32,5 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_store, op4_best_fit_packing, op6_simhash_near_dedup, op7_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_token_store, op4_best_fit_packing, op6_simhash_near_dedup, op7_benchmark_decontamination)}
 ORACLE: dict[str, str] = {}
