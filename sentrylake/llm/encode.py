@@ -2,66 +2,116 @@
 
 A chunk is a run of ASCII white space with the run of other bytes after it. Both tokenizers used here split before
 every white space that follows something else, so the ids of a text are the ids of its chunks in order; only chunks
-not met before are encoded. Texts with any other white-space character are encoded whole.
+not met before are encoded. A new chunk of plain letters, with ASCII punctuation after it or not, is exactly one
+piece for each of the two before byte-pair merging; those pieces go to the library's model without its normaliser
+and splitter. Other chunks go through the whole tokenizer; texts with any other white-space character go whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import struct
+from itertools import islice
 
-from tokenizers import Tokenizer
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
+
+from tokenizers import Tokenizer  # noqa: E402
 
 _CHUNK = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 #: 1C-1F, and U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000 as UTF-8
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_KEEP, _LONGEST = 300_000, 64
+#: one line feed or none, one space or none, letters (A-Z, a-z, U+00C0-00FF without the two signs), ASCII punctuation without the apostrophe
+_PLAIN = re.compile(rb"(\n?)(\x20?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+KEEP, _LONGEST = 500_000, 64  # chunks in a worker's memo, about 160 bytes each; longest chunk kept
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of every byte in byte-level merges: itself, or the next free code point from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
 
-class Encoder(dict):
-    """bytes of a chunk -> its ids as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Whole texts to ids, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, end: int, words: bool = False):
+    def __init__(self, path: str, end: int, words: bool = False, keep: int = KEEP):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = Tokenizer(self.tokenizer.model)
+        self.letters = _byte_letters()
+        self.keep = keep
+        self.memo: dict[bytes, bytes] = {}  # chunk -> code
         self.end = end.to_bytes(4, "little")
-        self.split = bytes.split if words else _CHUNK.findall  # words: the tokenizer drops white space
-        self.whole = not words
+        self.words = words  # the tokenizer drops white space and case
+        self.split = bytes.split if words else _CHUNK.findall
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in found]
+    @staticmethod
+    def _packed(found: list) -> list[bytes]:
+        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in found)]
+
+    def _whole(self, chunks: list[bytes]) -> list[bytes]:
+        return self._packed(self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False))
+
+    def _new(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Codes of distinct chunks that the memo lacks."""
+        out: dict[bytes, bytes] = {}
+        parts: dict[bytes, tuple[bytes, ...]] = {}
+        pieces: dict[bytes, bytes] = {b"": b""}
+        fresh, odd = [], []
+        for c in chunks:
+            m = _PLAIN.fullmatch(c)
+            if m is None or c[:2] == b"\n ":
+                odd.append(c)
+                continue
+            parts[c] = own = m.groups()
+            for p in own:
+                if p not in pieces:
+                    pieces[p] = self.memo.get(p)
+                    if pieces[p] is None:
+                        fresh.append(p)
+        if fresh:
+            texts = [p.decode().lower().encode() for p in fresh] if self.words else fresh
+            found = self.model.encode_batch_fast([t.decode("latin-1").translate(self.letters) for t in texts], add_special_tokens=False)
+            for p, code in zip(fresh, self._packed(found), strict=True):
+                pieces[p] = code
+                if len(p) <= _LONGEST:
+                    out[p] = code
+        for c, own in parts.items():
+            out[c] = b"".join(map(pieces.__getitem__, own))
+        if odd:
+            out.update(zip(odd, self._whole(odd), strict=True))
+        return out
 
     def ids(self, text: bytes | None) -> bytes:
         """The ids of a whole text and the end id."""
         if not text:
             return self.end
-        if self.whole and _OTHER_SPACE.search(text):
-            return self._encode([text])[0] + self.end
-        chunks = self.split(text)
-        new = [c for c in set(chunks) if c not in self]
+        if self.words:
+            text = text.lower()  # A-Z only
+        elif _OTHER_SPACE.search(text):
+            return self._whole([text])[0] + self.end
+        chunks, memo = self.split(text), self.memo
+        new = set(chunks).difference(memo)
         if not new:
-            return b"".join(map(self.__getitem__, chunks)) + self.end
-        codes = dict(zip(new, self._encode(new), strict=True))
-        if len(self) + len(new) > _KEEP:
-            codes |= {c: self[c] for c in chunks if c not in codes}
-            self.clear()
-            out = b"".join(map(codes.__getitem__, chunks)) + self.end
-            self.update((c, x) for c, x in codes.items() if len(c) <= _LONGEST)
-            return out
-        self.update(codes)
-        out = b"".join(map(self.__getitem__, chunks)) + self.end
+            return b"".join(map(memo.__getitem__, chunks)) + self.end
+        memo.update(self._new(new))
+        out = b"".join(map(memo.__getitem__, chunks)) + self.end
         for c in new:
             if len(c) > _LONGEST:
-                del self[c]
+                del memo[c]
+        if len(memo) > self.keep:  # the older half holds the common ones
+            self.memo = dict(islice(memo.items(), self.keep // 2))
         return out
 
 
 _OPEN: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, end: int, words: bool = False) -> Encoder:
+def encoder(path: str, end: int, words: bool = False, keep: int = KEEP) -> Encoder:
     """One encoder for each Python worker, so that its memo outlives a task."""
-    key = (path, end, words)
+    key = (path, end, words, keep)
     if key not in _OPEN:
-        _OPEN[key] = Encoder(path, end, words)
+        _OPEN[key] = Encoder(path, end, words, keep)
     return _OPEN[key]

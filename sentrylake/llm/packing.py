@@ -30,6 +30,7 @@ from .common import written
 from .encode import encoder
 
 SIZE, SMALL, GROUPS = 1024, 341, 64
+MEMO = 1_000_000  # chunks that a worker's encoder remembers, some 160 MB
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
@@ -37,7 +38,7 @@ def pieces(docs: DataFrame, path: str, end: int, words: bool, size: int = SIZE)
     """Pieces of at most `size` tokens, each with its place among those of its length in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part = encoder(path, end, words), TaskContext.get().partitionId()
+        code, part = encoder(path, end, words, MEMO), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
