@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, simhash, tokenstore
+from . import decontaminate, packing, pii, simhash, tokenstore, toxicity
 from .common import shared_dir, table, tokenizer_path
 
 
@@ -32,5 +32,9 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_token_store, op4_best_fit_packing, op6_simhash_near_dedup, op7_benchmark_decontamination)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_token_store, op4_best_fit_packing, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity)}
 ORACLE: dict[str, str] = {}
