@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontaminate, packing, pii, simhash, tokenstore, toxicity
 from .common import shared_dir, table, tokenizer_path
 
@@ -36,5 +38,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_token_store, op4_best_fit_packing, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_token_store, op4_best_fit_packing, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity, pipeline)}
 ORACLE: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -136,7 +136,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Documents without a doc_id stay, as no row can be named for them.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.join(kept, once.doc_id == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
+    once, repeated = kept.where("_rows = 1"), kept.where("_rows > 1")
+    rest = docs.join(repeated, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(once, docs["doc_id"] == F.col("_kept"), "left_semi").unionByName(rest).unionByName(docs.where(docs["doc_id"].isNull()))
