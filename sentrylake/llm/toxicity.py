@@ -4,8 +4,8 @@ Labels are given for documents, so tokens are labelled first: a word or a prefix
 document frequencies in toxic and clean training documents differ beyond chance marks tokens of toxic documents as
 toxic. The field has two states (clean, toxic), a weight for each such feature, a bias and transitions; it is trained
 in numpy by gradient ascent on the conditional likelihood of token sequences. For a document, forward-backward gives
-every marked token's marginal; stretches of unmarked tokens are one matrix power. The expected number of toxic tokens
-and the largest marginal go through a logistic function fitted on the training documents.
+every marked token's marginal; stretches of unmarked tokens are one matrix power. The expected number of different
+toxic words and the largest marginal go through a logistic function fitted on the training documents.
 
 Training reads at most SAMPLE labelled documents of at most SAMPLE_BYTES bytes each, the first by a hash of doc_id
 (documented bounds of the fit); scoring reads every whole text. Scores use the text alone.
@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_BYTES = 8_000, 32_768
-SEGMENT, SEGMENTS, STEPS = 24, 12_000, 120
+SAMPLE, SAMPLE_BYTES = 6_000, 16_384
+SEGMENT, SEGMENTS, STEPS = 24, 8_000, 120
 MAX_FEATURES, MIN_DOCS, MIN_SHARE, MIN_SIGNAL = 2_000, 4, 0.01, 4.5  # of toxic documents; MIN_SIGNAL grows with the number of features tried
 THRESHOLD = 0.7
 _MEMO = 300_000
@@ -107,25 +107,45 @@ class Model:
             after = at
         return out[::-1]
 
-    def score(self, marginals: list[float]) -> float:
+    @staticmethod
+    def summary(words: list[bytes], marks: list[tuple[int, float]], marginals: list[float]) -> tuple[float, float]:
+        """Expected number of different toxic words (logarithm of one more), and the largest marginal."""
+        most: dict[bytes, float] = {}
+        for (at, _), p in zip(marks, marginals, strict=True):
+            most[words[at]] = max(p, most.get(words[at], 0.0))
+        return math.log1p(sum(most.values())), max(marginals, default=0.0)
+
+    def score(self, words: list[bytes], marks: list[tuple[int, float]], marginals: list[float]) -> float:
         if len(self.logistic) == 0:
             return 0.0
-        z = self.logistic[0] + self.logistic[1] * math.log1p(sum(marginals)) + self.logistic[2] * max(marginals, default=0.0)
+        z = float(self.logistic[0] + self.logistic[1:] @ np.array(self.summary(words, marks, marginals)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _segments(docs: list[list[bytes]], toxic: list[int], index: dict[bytes, int]) -> list[tuple[list[list[int]], list[int]]]:
-    """Stretches of SEGMENT tokens as (features of each token, labels): all with a feature, and some without."""
-    with_, without = [], []
-    for words, y in zip(docs, toxic, strict=True):
+def _segments(docs: list[bytes], toxic: list[int], index: dict[bytes, int]) -> list[tuple[list[list[int]], list[int]]]:
+    """Stretches of SEGMENT tokens as (features of each token, labels): those with a feature, and some without."""
+    memo: dict[bytes, list[int]] = {}
+
+    def found(word: bytes) -> list[int]:
+        if word not in memo:
+            memo[word] = [index[f] for f in features(word) if f in index]
+        return memo[word]
+
+    places: tuple[list, list] = ([], [])
+    for d, text in enumerate(docs):
+        words = text.split()
         for i in range(0, len(words), SEGMENT):
-            found = [[index[f] for f in features(w) if f in index] for w in words[i : i + SEGMENT]]
-            item = (found, [int(bool(y and x)) for x in found])
-            (with_ if any(found) else without).append(item)
-    pick = np.random.default_rng(0).permutation(len(with_))[: SEGMENTS * 2 // 3]
-    kept = [with_[i] for i in pick]
-    more = np.random.default_rng(1).permutation(len(without))[: max(200, min(SEGMENTS - len(kept), 2 * len(kept)))]
-    return kept + [without[i] for i in more]
+            places[any(map(found, words[i : i + SEGMENT]))].append((d, i))
+    without, with_ = ([own[i] for i in np.random.default_rng(0).permutation(len(own))] for own in places)
+    chosen = with_[: SEGMENTS * 2 // 3]
+    chosen += without[: max(200, min(SEGMENTS - len(chosen), 2 * len(chosen)))]
+    out, last, words = [], -1, []
+    for d, i in sorted(chosen):
+        if d != last:
+            last, words = d, docs[d].split()
+        own = [found(w) for w in words[i : i + SEGMENT]]
+        out.append((own, [int(bool(toxic[d] and x)) for x in own]))
+    return out
 
 
 def fit_field(segments: list, n_features: int) -> tuple[np.ndarray, float, np.ndarray]:
@@ -188,7 +208,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _copies(docs: list[list[bytes]]) -> list[bool]:
+def _copies(docs: list[bytes]) -> list[bool]:
     """Whether a training document shares 3 of 8 minimum hashes of its 3-word shingles with an earlier one.
 
     Copies would make any of their words look typical.
@@ -196,7 +216,8 @@ def _copies(docs: list[list[bytes]]) -> list[bool]:
     odd = np.random.default_rng(5).integers(0, 2**63, 8).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     seen: set[tuple[int, int]] = set()
     out = []
-    for words in docs:
+    for text in docs:
+        words = text.split()
         shingles = {b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
         own = {(i, int((h * m).min())) for i, m in enumerate(odd)}
@@ -206,19 +227,26 @@ def _copies(docs: list[list[bytes]]) -> list[bool]:
 
 
 def fit(texts: list[bytes | None], toxic: list[int]) -> Model:
-    docs = [(t or b"").translate(_FOLD).split() for t in texts]
+    docs = [(t or b"").translate(_FOLD) for t in texts]
     again = _copies(docs)
     docs, toxic = [d for d, c in zip(docs, again, strict=True) if not c], [y for y, c in zip(toxic, again, strict=True) if not c]
     n_toxic, n_clean = sum(toxic), len(toxic) - sum(toxic)
     nothing = Model({}, -4.0, np.ones((2, 2)), np.zeros(0))
     if not n_toxic or not n_clean:
         return nothing
-    counts = (Counter(), Counter())
-    for words, y in zip(docs, toxic, strict=True):
-        counts[y].update({f for w in set(words) for f in features(w)})
-    names = [f for f, c in counts[1].items() if c >= MIN_DOCS]
+    own = lambda text: {f for w in set(text.split()) for f in features(w)}
+    first: Counter = Counter()
+    for text, y in zip(docs, toxic, strict=True):
+        if y:
+            first.update(own(text))
+    first = Counter({f: c for f, c in first.items() if c >= MIN_DOCS})
+    other: Counter = Counter()
+    for text, y in zip(docs, toxic, strict=True):
+        if not y:
+            other.update(f for f in own(text) if f in first)
+    names = list(first)
     least = max(MIN_SIGNAL, math.sqrt(2 * math.log(max(len(names), 2))) + 0.5)  # beyond the largest of as many by chance
-    a, b = np.array([counts[1][f] for f in names], float), np.array([counts[0][f] for f in names], float)
+    a, b = np.array([first[f] for f in names], float), np.array([other[f] for f in names], float)
     signal = _signal(a, b, n_toxic, n_clean) if names else np.zeros(0)
     best = sorted((i for i in range(len(names)) if signal[i] >= least and a[i] >= MIN_SHARE * n_toxic and a[i] / n_toxic > 4 * b[i] / n_clean), key=lambda i: (-signal[i], names[i]))[:MAX_FEATURES]
     if not best:
@@ -227,9 +255,10 @@ def fit(texts: list[bytes | None], toxic: list[int]) -> Model:
     weights, bias, trans = fit_field(_segments(docs, toxic, index), len(index))
     model = Model({f: float(weights[k]) for f, k in index.items()}, bias, trans, np.zeros(0))
     x = []
-    for words in docs:
-        p = model.marginals(model.marked(words), len(words))
-        x.append([math.log1p(sum(p)), max(p, default=0.0)])
+    for text in docs:
+        words = text.split()
+        marks = model.marked(words)
+        x.append(model.summary(words, marks, model.marginals(marks, len(words))))
     model.logistic = _fit_logistic(np.array(x), np.array(toxic, float))
     model.memo = {}
     return model
@@ -264,7 +293,7 @@ def tag(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text")
                 words = folded.split()
                 marks = field.marked(words)
                 p = field.marginals(marks, len(words))
-                scores.append(field.score(p))
+                scores.append(field.score(words, marks, p))
                 bad = {at for (at, _), x in zip(marks, p, strict=True) if x >= 0.5}
                 flat, last, chars = [], 0, 0
                 if bad:
