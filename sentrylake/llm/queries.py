@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, packing, pii, simhash, tokenstore, toxicity
+from . import decontaminate, licenses, packing, pii, reshard, simhash, tokenstore, toxicity
 from .common import shared_dir, table, tokenizer_path
 
 
@@ -26,6 +26,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=2)
 
 
+def op5_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,11 +42,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_token_store, op4_best_fit_packing, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity, pipeline)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_token_store, op4_best_fit_packing, op5_flow_resharding, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity, op9_license_scan, pipeline)}
+ORACLE: dict[str, str] = {"op9_license_scan": licenses.oracle_sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
