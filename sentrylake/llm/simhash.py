@@ -139,4 +139,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
     once, repeated = kept.where("_rows = 1"), kept.where("_rows > 1")
     rest = docs.join(repeated, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(once, docs["doc_id"] == F.col("_kept"), "left_semi").unionByName(rest).unionByName(docs.where(docs["doc_id"].isNull()))
+    # as large as the table: never broadcast
+    return docs.join(once.hint("merge"), docs["doc_id"] == F.col("_kept"), "left_semi").unionByName(rest).unionByName(docs.where(docs["doc_id"].isNull()))
