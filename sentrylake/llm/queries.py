@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, packing, pii, reshard, simhash, tokenstore, toxicity
+from . import ann, decontaminate, licenses, packing, pii, reshard, simhash, tokenstore, toxicity
 from .common import shared_dir, table, tokenizer_path
 
 
+def op1_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_token_store, op4_best_fit_packing, op5_flow_resharding, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity, op9_license_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_neighbours, op2_pii, op3_token_store, op4_best_fit_packing, op5_flow_resharding, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity, op9_license_scan, pipeline)}
 ORACLE: dict[str, str] = {"op9_license_scan": licenses.oracle_sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
