@@ -25,6 +25,7 @@ from .common import shared_dir
 
 OVERHEAD = 16
 PER_SHARD = 640  # buckets of an old shard
+FILE_BYTES = 128 << 20  # of text in a file at most, less where there is little
 SPLIT = 2  # a block is at most the SPLITth part of a shard
 
 
@@ -95,7 +96,7 @@ Block = tuple[int, int]
 
 
 def plan(blocks: dict[Block, tuple[int, int]], old_shards: int, new_shards: int) -> dict[Block, tuple[int, int, int]]:
-    """blocks: (bucket, part) -> (bytes, rows). Gives (shard, first slot, rows) for each."""
+    """blocks: (bucket, part) -> (bytes, rows). Gives (shard, first slot, number of the file in the shard) for each."""
     total = sum(b for b, _ in blocks.values())
     old = [0] * old_shards
     members: list[list[Block]] = [[] for _ in range(old_shards)]
@@ -112,10 +113,12 @@ def plan(blocks: dict[Block, tuple[int, int]], old_shards: int, new_shards: int)
                 moved.add(key)
                 where[key] = j
                 room -= size
-    out, slots = {}, [0] * max(old_shards, new_shards)
+    out, slots, filled = {}, [0] * max(old_shards, new_shards), [0] * max(old_shards, new_shards)
+    file_bytes = min(FILE_BYTES, max(8 << 20, total // 256))
     for key in sorted(blocks):
         shard = where[key]
-        out[key] = (shard, slots[shard], blocks[key][1])
+        out[key] = (shard, slots[shard], filled[shard] // file_bytes)
+        filled[shard] += blocks[key][0]
         slots[shard] += blocks[key][1]
     return out
 
@@ -156,13 +159,13 @@ def reshard(docs: DataFrame, path: str, old_shards: int = 32, new_shards: int =
         blocks = {k: v for k, v in blocks.items() if k[0] not in parts} | sizes(parts, list(parts))
     made = plan(blocks, old_shards, new_shards)
     changed = {s for k, (s, _, _) in made.items() if s != k[0] % old_shards} | {k[0] % old_shards for k, (s, _, _) in made.items() if s != k[0] % old_shards}
-    listed = spark.createDataFrame([(*k, s, first) for k, (s, first, _) in made.items()], "bucket int, part int, shard int, first long")
+    listed = spark.createDataFrame([(*k, *x) for k, x in made.items()], "bucket int, part int, shard int, first long, file int")
     bucket, part = _block(text, doc_id, buckets, parts)
     placed = rows.withColumn("bucket", bucket).withColumn("part", part).join(F.broadcast(listed), ["bucket", "part"])  # at most buckets + splits rows
     if old_path is not None:
         placed = placed.where(F.col("shard").isin(sorted(changed)))
-    inside = Window.partitionBy("shard", "bucket", "part").orderBy(doc_id, F.xxhash64(text))
-    out = placed.repartitionByRange("shard", "bucket", "part").withColumn("slot", F.col("first") + F.row_number().over(inside) - 1)
+    inside = Window.partitionBy("shard", "file", "bucket", "part").orderBy(doc_id, F.xxhash64(text))
+    out = placed.repartition("shard", "file").withColumn("slot", F.col("first") + F.row_number().over(inside) - 1)
     named = out.select("shard", F.col("slot").alias("_slot"), F.struct(*(F.col(p).alias(n) for p, n in zip(plain, names, strict=True))).alias("row"))
     named.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return spark.read.schema(named.schema).parquet(path), changed
