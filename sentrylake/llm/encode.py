@@ -92,7 +92,11 @@ class Encoder:
             text = text.lower()  # A-Z only
         elif _OTHER_SPACE.search(text):
             return self._whole([text])[0] + self.end
-        chunks, memo = self.split(text), self.memo
+        return self.join(self.split(text))
+
+    def join(self, chunks: list[bytes]) -> bytes:
+        """The ids of chunks (lower-case where `words`) and the end id."""
+        memo = self.memo
         new = set(chunks).difference(memo)
         if not new:
             return b"".join(map(memo.__getitem__, chunks)) + self.end

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, decontaminate, licenses, packing, pii, reshard, simhash, tokenstore, toxicity
+from . import ann, decontaminate, licenses, lm, packing, pii, reshard, simhash, tokenstore, toxicity
 from .common import shared_dir, table, tokenizer_path
 
 
@@ -50,11 +50,15 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=49_407, vocabulary=49_408)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_neighbours, op2_pii, op3_token_store, op4_best_fit_packing, op5_flow_resharding, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity, op9_license_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_neighbours, op2_pii, op3_token_store, op4_best_fit_packing, op5_flow_resharding, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity, op9_license_scan, op10_attention_lm, pipeline)}
 ORACLE: dict[str, str] = {"op9_license_scan": licenses.oracle_sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
