@@ -51,7 +51,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=49_407, vocabulary=49_408)
+    return lm.score(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), end=50_256, vocabulary=50_257)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
