@@ -21,7 +21,7 @@ def _sides(exact: DataFrame, sketch: DataFrame) -> DataFrame:
 def agreement(exact: DataFrame, sketch: DataFrame) -> DataFrame:
     """(type, matched, extra, missed); rankings are compared elsewhere."""
     sides = _sides(exact, sketch).where(F.col("type") != TOP_ATTACKERS)
-    return sides.groupBy("type").agg(F.count_if("_e = 1 AND _s = 1").alias("matched"), F.count_if("_e = 0").alias("extra"), F.count_if("_s = 0").alias("missed"))
+    return sides.groupBy("type").agg(F.count_if(F.expr("_e = 1 AND _s = 1")).alias("matched"), F.count_if(F.expr("_e = 0")).alias("extra"), F.count_if(F.expr("_s = 0")).alias("missed"))
 
 
 def totals(exact: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def false_rates(windowed: DataFrame, threshold: int, widths: list[int], depth: i
     every = exact.select("window_id", "source", "_e").withColumn("width", F.explode(F.array(*(F.lit(w).cast("long") for w in widths))))
     same = (every["width"] == alerts["width"]) & (every["window_id"] == alerts["window_id"]) & every["source"].eqNullSafe(alerts["source"])
     both = every.join(alerts.withColumn("_s", F.lit(1)), same, "full_outer").select(F.coalesce(every["width"], alerts["width"]).alias("width"), "_e", "_s")
-    found = both.groupBy("width").agg(F.count("_e").alias("exact_alerts"), F.count_if("_e IS NULL").alias("extra"), F.count_if("_s IS NULL").alias("lost"))
+    found = both.groupBy("width").agg(F.count("_e").alias("exact_alerts"), F.count_if(F.expr("_e IS NULL")).alias("extra"), F.count_if(F.expr("_s IS NULL")).alias("lost"))
     return found.withColumn("false_rate", F.when(F.col("exact_alerts") > 0, F.col("extra") / F.col("exact_alerts")).otherwise(0.0))
 
 

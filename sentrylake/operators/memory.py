@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def slots(n: Column) -> Column:
     """The least power of two that is at least ceil(4n/3), and at least 2; whole numbers only."""
     need = F.greatest(F.floor((n.cast("long") * 4 + 2) / 3).cast("long"), F.lit(2).cast("long"))
-    return F.greatest(F.lit(2).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(need - 1))))
+    return F.greatest(F.lit(2).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(need - 1))))
 
 
 def slots_of(n: int) -> int:

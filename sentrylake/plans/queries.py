@@ -28,10 +28,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 EV = """ev AS (
-  SELECT event_id AS seq, epoch_ms(ts) AS ts_ms, user_id AS source, CAST(props->>'k' AS BIGINT) AS actor,
+  SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, user_id AS source, CAST(props->>'k' AS BIGINT) AS actor,
     CASE event_type WHEN 'view' THEN 'CONNECT' ELSE 'LOGIN' END AS action,
     CASE WHEN event_type IN ('error', 'click') THEN 'FAILURE' WHEN event_type IN ('signup', 'purchase') THEN 'SUCCESS' ELSE 'UNKNOWN' END AS outcome,
-    epoch_ms(ts) // 86400000 AS window_id
+    epoch_us(ts) // 86400000000 AS window_id
   FROM events)"""
 LOGINS = EV + ", lg AS (SELECT * FROM ev WHERE action = 'LOGIN')"
 BF = "bf AS (SELECT window_id, source, count(*) AS n FROM lg GROUP BY ALL HAVING count(*) >= 6)"
@@ -106,7 +106,7 @@ REGS = f"""pairs AS (SELECT DISTINCT window_id, source, actor FROM lg WHERE acto
 regs AS (SELECT window_id, source, CAST(h >> 56 AS BIGINT) AS idx, max(64 - CAST(floor(log2(CAST({_BITS} AS DOUBLE))) AS BIGINT)) AS rank
   FROM ({_split64('pairs')}) GROUP BY ALL)"""
 HLL = f"""hll AS (SELECT window_id, source, CAST(floor(CASE WHEN raw <= 640 AND empty > 0 THEN 256 * ln(256.0 / empty) ELSE raw END + 0.5) AS BIGINT) AS estimate
-  FROM (SELECT window_id, source, 256 - count(*) AS empty, {hll.alpha(256)!r} * 256 * 256 / (sum(power(2.0, -rank)) + 256 - count(*)) AS raw FROM regs GROUP BY ALL))"""
+  FROM (SELECT window_id, source, 256 - count(*) AS empty, CAST({hll.alpha(256)!r} AS DOUBLE) * 65536 / (sum(power(2.0, -rank)) + 256 - count(*)) AS raw FROM regs GROUP BY ALL))"""
 
 
 def _slots(n: str) -> str:
@@ -390,7 +390,7 @@ def stream_crossing_alerts(spark, sf_dir):
 
 
 @_query(
-    "SELECT window_id, source, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY n DESC, source) AS rank FROM (SELECT epoch_ms(l_shipdate) // 2592000000 AS window_id, l_suppkey AS source, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE rank <= 5"
+    "SELECT window_id, source, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY n DESC, source) AS rank FROM (SELECT epoch_us(l_shipdate) // 2592000000000 AS window_id, l_suppkey AS source, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE rank <= 5"
 )
 def topk_suppliers_by_month(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', l_shipdate)").alias("ts_ms"), F.col("l_suppkey").alias("source"))

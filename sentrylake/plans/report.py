@@ -16,8 +16,8 @@ def window_summary(events: DataFrame, window_ms: int) -> DataFrame:
     w = with_window(events, window_ms)
     return w.groupBy("window_id").agg(
         F.count("*").alias("events"),
-        F.count_if("action = 'LOGIN'").alias("logins"),
-        F.count_if("outcome = 'FAILURE'").alias("failures"),
+        F.count_if(F.expr("action = 'LOGIN'")).alias("logins"),
+        F.count_if(F.expr("outcome = 'FAILURE'")).alias("failures"),
         F.count_distinct("source").alias("sources"),
         F.count_distinct("actor").alias("users"),
     )

@@ -73,7 +73,7 @@ def crossing_alerts(events: DataFrame, window_ms: int, threshold: int, delay: st
         if seen < threshold <= seen + len(at):
             yield pd.DataFrame({"window_id": [key[0]], "source": [key[1]], "seq": [int(at.iloc[threshold - seen - 1])]})
         state.update((seen + len(at),))
-        end = (key[0] + 1) * window_ms
+        end = (int(key[0]) + 1) * window_ms
         if end > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(end)
 
@@ -81,9 +81,13 @@ def crossing_alerts(events: DataFrame, window_ms: int, threshold: int, delay: st
 
 
 def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """The files of a Parquet table as a stream with the table's own schema."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """The files of a Parquet table, a folder or a single file, as a stream with the table's own schema."""
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if [f.rpartition("/")[2] for f in table.inputFiles()] == [name]:  # a stream reads folders only
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
