@@ -6,7 +6,7 @@ The plan needs only how many pieces there are of each length (1 to 1024), so it
  2. With so few sizes, the best mix of configurations (multisets of sizes that fit) is a linear programme, solved by
     column generation; the whole parts of its multiplicities are taken.
  3. Actual lengths replace the rounded ones, longest first. Where that leaves a gap, the smallest of the sequence
-    goes back to be fitted in step 4.
+    goes back to be fitted in step 4; all do if much is left.
  4. What is left over, and then the small lengths, are best-fit into the gaps, longest first; new sequences open
     only if nothing fits.
 Sequences are kept as runs with a multiplicity, so the plan is a short table: (length, rank of the piece among all
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .encode import encoder
 
-SIZE, SMALL, GROUPS = 1024, 341, 64
+SIZE, SMALL, GROUPS = 1024, 400, 64
 MEMO = 1_000_000  # chunks that a worker's encoder remembers, some 160 MB
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
@@ -148,7 +148,10 @@ class Plan:
                 m = min(times, *(queues[g][i][1] // k for (g, i), k in used.items()))
                 run = [m, self.size, []]
                 lengths = sorted((queues[g][i][0] for g, i in heads), reverse=True)
-                if len(lengths) > 1 and sum(lengths) < self.size:
+                gap = self.size - sum(lengths)
+                if gap >= lengths[-1] or gap > self.size // 16:
+                    lengths = []  # poorly filled: all go to the best fit
+                elif gap and len(lengths) > 1:
                     lengths.pop()  # rounding left a gap: the smallest is fitted with the small ones instead
                 for length in lengths:
                     run[2].append((length, self._take(length, m)))
@@ -157,7 +160,8 @@ class Plan:
                     queues[g][i][1] -= m * k
                 for g in set(slots):
                     queues[g] = [x for x in queues[g] if x[1]]
-                self.open[run[1]].append(run)
+                if run[2]:
+                    self.open[run[1]].append(run)
                 times -= m
 
     def _split(self, run: list, n: int) -> list:

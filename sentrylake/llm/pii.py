@@ -147,26 +147,32 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; overlapping spans become one.
-
-    A null text stays null, and n_chars follows the new text where the table has that column.
-    """
-    names = docs.columns
-    plain = [f"c{i}" for i in range(len(names))]
-    text = F.col(plain[names.index("text")])
-    found = with_spans(docs.toDF(*plain), plain[names.index("text")], "pii")
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with its spans replaced; overlapping spans become one."""
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in PATTERNS))
     state = "struct<at:int,out:array<string>>"
 
     def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
         piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(kinds, s["rank"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out")).cast(state)
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out")).cast(state)
 
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
-    done = F.aggregate("pii", none, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    new = found.withColumn("_new", F.when(F.size("pii") > 0, done).otherwise(text))
+    return F.aggregate(spans, none, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with every span replaced by its kind in brackets.
+
+    What a replacement brings to light (digits that were part of a longer, failing match) goes in a second pass. A null
+    text stays null, and n_chars follows the new text where the table has that column.
+    """
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    text = F.col(plain[names.index("text")])
+    once = with_spans(docs.toDF(*plain), plain[names.index("text")], "pii")
+    once = once.withColumn("first", F.when(F.size("pii") > 0, _masked(text, F.col("pii"))))
+    twice = with_spans(once, "first", "pii2")  # null, so empty, where nothing was found
+    new = twice.withColumn("_new", F.when(F.size("pii2") > 0, _masked(F.col("first"), F.col("pii2"))).otherwise(F.coalesce("first", text)))
     cols = []
     for p, n in zip(plain, names, strict=True):
         col = F.col("_new") if n == "text" else F.col(p)

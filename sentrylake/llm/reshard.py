@@ -6,6 +6,7 @@ half a shard is split by doc_id. An old shard is a set of buckets, so the old la
  2. Flow network: old shards supply their bytes, new shards take their capacity (the total shared out equally), an arc
     from an old shard to itself costs nothing and to any other 1 a byte. The cheapest flow moves the fewest bytes.
  3. For every arc between different shards blocks are chosen, largest first, as long as they fit its flow.
+    A few more single blocks then even out what no block fitted.
  4. Shards that gain or lose a block are written anew; the others stay as they are. Slots number a shard's rows:
     blocks in order, rows by doc_id within a block, so no shard has to be sorted in one task.
 
@@ -15,6 +16,7 @@ text share a block; a null doc_id sorts first; an empty table gives an empty res
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import uuid
 
@@ -26,7 +28,8 @@ from .common import shared_dir
 OVERHEAD = 16
 PER_SHARD = 640  # buckets of an old shard
 FILE_BYTES = 128 << 20  # of text in a file at most, less where there is little
-SPLIT = 2  # a block is at most the SPLITth part of a shard
+SPLIT = 2  # a bucket over the SPLITth part of a shard
+PARTS = 512  # is split into blocks of about the PARTSth part of one
 
 
 class FlowNetwork:
@@ -95,6 +98,26 @@ def transfers(old: list[int], new: list[int]) -> dict[tuple[int, int], int]:
 Block = tuple[int, int]
 
 
+def _even_out(where: dict[Block, int], blocks: dict[Block, tuple[int, int]], shards: int, new_shards: int) -> None:
+    """What no block fitted: moves single blocks from the fullest shard to the emptiest while that narrows their gap."""
+    held: list[list[tuple[int, Block]]] = [[] for _ in range(shards)]
+    sizes = [0] * shards
+    for key, shard in where.items():
+        bisect.insort(held[shard], (blocks[key][0], key))
+        sizes[shard] += blocks[key][0]
+    for _ in range(50 * new_shards):
+        high, low = max(range(new_shards), key=sizes.__getitem__), min(range(new_shards), key=sizes.__getitem__)
+        gap = sizes[high] - sizes[low]
+        at = bisect.bisect_left(held[high], (gap // 2 + 1,))  # half the gap is best, less than all of it still helps
+        fits = [i for i in (at - 1, at) if 0 <= i < len(held[high]) and held[high][i][0] < gap]
+        if not fits:
+            break
+        size, key = held[high].pop(min(fits, key=lambda i: abs(held[high][i][0] - gap / 2)))
+        bisect.insort(held[low], (size, key))
+        where[key] = low
+        sizes[high], sizes[low] = sizes[high] - size, sizes[low] + size
+
+
 def plan(blocks: dict[Block, tuple[int, int]], old_shards: int, new_shards: int) -> dict[Block, tuple[int, int, int]]:
     """blocks: (bucket, part) -> (bytes, rows). Gives (shard, first slot, number of the file in the shard) for each."""
     total = sum(b for b, _ in blocks.values())
@@ -113,6 +136,7 @@ def plan(blocks: dict[Block, tuple[int, int]], old_shards: int, new_shards: int)
                 moved.add(key)
                 where[key] = j
                 room -= size
+    _even_out(where, blocks, max(old_shards, new_shards), new_shards)
     out, slots, filled = {}, [0] * max(old_shards, new_shards), [0] * max(old_shards, new_shards)
     file_bytes = min(FILE_BYTES, max(8 << 20, total // 256))
     for key in sorted(blocks):
@@ -153,8 +177,8 @@ def reshard(docs: DataFrame, path: str, old_shards: int = 32, new_shards: int =
         return {(r["bucket"], r["part"]): (r["bytes"], r["n"]) for r in t.groupBy("bucket", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
 
     blocks = sizes({})
-    limit = max(1, sum(b for b, _ in blocks.values()) // new_shards // SPLIT)
-    parts = {bucket: -(-4 * b // limit) for (bucket, _), (b, _) in blocks.items() if b > limit}
+    share = max(1, sum(b for b, _ in blocks.values()) // new_shards)
+    parts = {bucket: -(-PARTS * b // share) for (bucket, _), (b, _) in blocks.items() if SPLIT * b > share}
     if parts:  # fewer than new_shards * SPLIT buckets can be over the limit
         blocks = {k: v for k, v in blocks.items() if k[0] not in parts} | sizes(parts, list(parts))
     made = plan(blocks, old_shards, new_shards)

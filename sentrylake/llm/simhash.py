@@ -136,8 +136,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Documents without a doc_id stay, as no row can be named for them.
     """
-    kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    once, repeated = kept.where("_rows = 1"), kept.where("_rows > 1")
-    rest = docs.join(repeated, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # any column name may clash with ours
+    rows, key = docs.toDF(*plain), plain[names.index("doc_id")]
+    kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("rows")), "kept")
+    once, repeated = kept.where("rows = 1").select(key), kept.where("rows > 1").select(key)
+    rest = rows.join(repeated, key, "left_semi").dropDuplicates([key])
     # as large as the table: never broadcast
-    return docs.join(once.hint("merge"), docs["doc_id"] == F.col("_kept"), "left_semi").unionByName(rest).unionByName(docs.where(docs["doc_id"].isNull()))
+    out = rows.join(once.hint("merge"), key, "left_semi").unionByName(rest).unionByName(rows.where(F.col(key).isNull()))
+    return out.select(*(F.col(p).alias(n) for p, n in zip(plain, names, strict=True)))
