@@ -99,13 +99,18 @@ def check_base(rows, docs):
 
 
 @pytest.mark.parametrize("frequent", [lm.FREQUENT, 50])
-def test_op10_base_is_exact_and_the_model_better(spark, frequent, monkeypatch):
+def test_op10_base_is_exact(spark, frequent, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     rows = queries.op10_attention_lm(spark, DATA).collect()
     check_base(rows, docs)
     assert all(r.score < 0 for r in rows)
-    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+
+
+def test_op10_is_better_than_the_base_on_held_out_texts(spark):
+    rows = [r for r in queries.op10_attention_lm(spark, "/root/testdata/sf0.1").collect() if r.held_out]
+    assert sum(r.score for r in rows) > 0.97 * sum(r.base_score for r in rows)
+    assert sum(r.score > r.base_score for r in rows) > 0.8 * len(rows)
 
 
 def test_language_model_odd_rows(spark, clashing, no_docs):

@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -12,6 +13,12 @@ from sentrylake.llm.common import tokenizer_path
 from sentrylake.llm.encode import Encoder
 
 
+@cache
+def encoder(name, words):
+    return Encoder(tokenizer_path(name), 2, words)
+
+
+@cache
 def whole(name):
     t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
@@ -23,7 +30,7 @@ NAMES = [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)]
 
 @pytest.mark.parametrize(("name", "words"), NAMES)
 def test_chunks_give_the_ids_of_the_whole_text(spark, name, words):
-    own, ref = Encoder(tokenizer_path(name), 2, words), whole(name)
+    own, ref = encoder(name, words), whole(name)
     texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + [x[1] for x in ODD]
     for text in texts:
         got = np.frombuffer(own.ids(text.encode() if text else None), "<u4").tolist()
@@ -34,7 +41,7 @@ def test_chunks_give_the_ids_of_the_whole_text(spark, name, words):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aB9'st \n\t\r. 　́éΣ\x1c "), max_size=40))
 def test_any_white_space(name, words, text):
-    own, ref = Encoder(tokenizer_path(name), 2, words), whole(name)
+    own, ref = encoder(name, words), whole(name)
     assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == [*ref(text), 2]
 
 
