@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB, and the entry without the llm parts."""
 
 import math
+import os
 import shutil
 import subprocess
 import sys
@@ -48,4 +49,4 @@ def test_entry_without_the_llm_parts(tmp_path, gone):
         else:
             (tmp_path / p).unlink(missing_ok=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'alerts_all' in q; assert not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120)
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
