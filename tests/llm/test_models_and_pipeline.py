@@ -128,7 +128,7 @@ def small_model():
     sample = [np.append(rng.integers(0, 30, rng.integers(5, 90)), 49).astype(np.int32) for _ in range(120)]
     layout = attention.Layout(sample, 50)
     unigram = np.bincount(np.concatenate(sample), minlength=50)
-    pairs = np.bincount(attention.cells(sample, layout.begin, layout.rows, layout.columns, layout.width), minlength=layout.n_rows * layout.width)
+    pairs = np.bincount(attention.cells(np.concatenate(sample), 49, layout), minlength=layout.n_rows * layout.width)
     model = attention.Attention(layout, unigram, pairs.reshape(layout.n_rows, layout.width))
     ids, target, _, first = attention.windows(sample, layout.begin)
     model.train(ids, target, first, epochs=1)
