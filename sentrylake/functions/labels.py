@@ -24,6 +24,29 @@ def synthetic(key: Column) -> Column:
 
 
 def readable_bytes(n: Column) -> Column:
-    """A count of bytes in B, KB, MB or GB with one decimal."""
-    unit = lambda p, name: F.concat(F.format_number(n / 2**p, 1), F.lit(f" {name}"))
-    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, unit(10, "KB")).when(n < 1 << 30, unit(20, "MB")).otherwise(unit(30, "GB"))
+    """A count of bytes in B, KB or MB; a decimal for broken KB below 100 and for broken MB."""
+    kb, mb = n / 1024, n / (1 << 20)
+    whole, broken = (lambda x: F.call_function("format_number", x, F.lit("0"))), (lambda x: F.call_function("format_number", x, F.lit("0.0")))
+    in_kb = F.when((kb < 100) & (kb != F.floor(kb)), broken(kb)).otherwise(whole(kb))
+    in_mb = F.when(mb == F.floor(mb), whole(mb)).otherwise(broken(mb))
+    return F.when(n == 0, F.lit("0")).when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(in_kb, F.lit(" KB"))).otherwise(F.concat(in_mb, F.lit(" MB")))
+
+
+#: Steps of a chart's upper end within a power of ten of kilobytes.
+STEPS = (1, 1.2, 1.6, 2, 2.4, 3.2, 4, 5, 6, 8, 10)
+
+
+def chart_ceiling(n: Column) -> Column:
+    """The upper end of a chart for a largest value of n bytes: the next step, in bytes; 1,024 for nothing."""
+    kb = n / 1024
+    power = F.pow(F.lit(10.0), F.floor(F.log10(kb)))
+    out = F.when(n <= 0, F.lit(1024.0))
+    for step in STEPS:
+        out = out.when(kb <= F.lit(float(step)) * power, F.lit(float(step)) * power * 1024)
+    return out.otherwise(F.lit(10.0) * power * 1024)
+
+
+def ratio_text(sketch: Column, exact: Column) -> Column:
+    """How a sketch's memory compares, in words."""
+    r = sketch / exact
+    return F.when((sketch == 0) | (exact == 0), "no data in this window yet").when(r < 1, F.concat(F.lit("takes "), F.call_function("format_number", r * 100, F.lit("0")), F.lit(" % of the exact"))).otherwise(F.concat(F.lit("takes "), F.call_function("format_number", r, F.lit("0.0")), F.lit(" times the exact")))

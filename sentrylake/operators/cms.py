@@ -45,14 +45,21 @@ def estimates(df: DataFrame, within: list[str], key: str, width: int, depth: int
     return spread.join(sketch, [*within, "r", "col"]).groupBy(*within, key).agg(F.first("n").alias("n"), F.min("_cell").alias("estimate"))
 
 
-def incremental_alerts(logins: DataFrame, threshold: int, width: int, depth: int, seed: int) -> DataFrame:
+def incremental_alerts(logins: DataFrame, threshold: int, width: int, depth: int, seed: int, slice_size: int = 1 << 20) -> DataFrame:
     """(window_id, source) of sources whose estimate reaches the threshold at an event of their own.
 
-    Cells are running counts in event order: collisions that come after a source's last event raise no alert.
+    Cells are running counts in event order: collisions that come after a source's last event raise no alert. A cell's
+    events are counted in slices of `slice_size` sequence numbers, each after the sum of the slices before it, so that
+    a hot cell isn't one task's.
     """
-    spread = with_cells(logins.select("window_id", "source", "seq"), "source", width, depth, seed)
-    running = Window.partitionBy("window_id", "r", "col").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_event = spread.withColumn("_n", F.count("*").over(running)).groupBy("window_id", "source", "seq").agg(F.min("_n").alias("estimate"))
+    spread = with_cells(logins.select("window_id", "source", "seq"), "source", width, depth, seed).withColumn("_s", F.expr(f"seq div {int(slice_size)}L"))
+    cell = ["window_id", "r", "col"]
+    sums = spread.groupBy(*cell, "_s").agg(F.count("*").alias("_c"))
+    earlier = Window.partitionBy(*cell).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*cell, "_s", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*cell, "_s").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = spread.withColumn("_n", F.count("*").over(inside)).join(base, [*cell, "_s"])
+    at_event = running.groupBy("window_id", "source", "seq").agg(F.min(F.col("_n") + F.col("_base")).alias("estimate"))
     return at_event.where(F.col("estimate") >= threshold).select("window_id", "source").distinct()
 
 

@@ -72,7 +72,18 @@ def user_enumeration_crossing(windowed: DataFrame, threshold: int) -> DataFrame:
     return first.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == threshold).select("window_id", "source", "seq")
 
 
-def alerts(windowed: DataFrame, brute: int, users: int, k: int) -> DataFrame:
-    """All three detections as (type, key, window_id)."""
-    parts = (_alert(BRUTE_FORCE, brute_force(windowed, brute)), _alert(USER_ENUMERATION, user_enumeration(windowed, users)), _alert(TOP_ATTACKERS, top_attackers(windowed, k)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def login_totals(windowed: DataFrame) -> DataFrame:
+    """(window_id, source, attempts, users): both login figures from one pass.
+
+    Counted by user first, so a hot source is spread by its users and arrives at its own task pre-aggregated.
+    """
+    by_user = logins(windowed).groupBy("window_id", "source", "actor").agg(F.count("*").alias("_n"))
+    return by_user.groupBy("window_id", "source").agg(F.sum("_n").alias("attempts"), F.count("actor").alias("users"))
+
+
+def alerts(windowed: DataFrame, brute: int, users: int, k: int, ranking: bool = True) -> DataFrame:
+    """All three detections as (type, key, window_id): one pass for the thresholds, one for the ranking."""
+    raised = F.array_compact(F.array(F.when(F.col("attempts") >= brute, F.lit(BRUTE_FORCE)), F.when(F.col("users") >= users, F.lit(USER_ENUMERATION))))
+    crossed = login_totals(windowed).where((F.col("attempts") >= brute) | (F.col("users") >= users))
+    thresholds = crossed.select(F.explode(raised).alias("type"), F.col("source").alias("key"), "window_id")
+    return thresholds.unionByName(_alert(TOP_ATTACKERS, top_attackers(windowed, k))) if ranking else thresholds

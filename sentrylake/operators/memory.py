@@ -59,6 +59,11 @@ def by_window(windowed: DataFrame, sizes) -> DataFrame:
     )
 
 
+def history(windowed: DataFrame, sizes, keep: int = 180) -> DataFrame:
+    """The byte counts of the latest `keep` windows."""
+    return by_window(windowed, sizes).orderBy(F.desc("window_id")).limit(keep)
+
+
 def sampled_peak(windowed: DataFrame, every: int = 1024) -> DataFrame:
     """(peak_bytes): the largest exact counter at events whose seq is a multiple of `every`, over all windows.
 

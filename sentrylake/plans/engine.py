@@ -19,8 +19,8 @@ def alerts(events: DataFrame, thresholds: Thresholds, impl: str = "exact", sketc
     t, s = thresholds, sketches or Sketches()
     windowed = with_window(events, t.window_ms)
     if impl == "exact":
-        brute, users, top = exact.brute_force(windowed, t.brute_force), exact.user_enumeration(windowed, t.user_enumeration), exact.top_attackers(windowed, t.top_k)
-    elif impl == "sketch":
+        return exact.alerts(windowed, t.brute_force, t.user_enumeration, t.top_k, ranking)
+    if impl == "sketch":
         logins = exact.logins(windowed)
         brute = cms.incremental_alerts(logins, t.brute_force, s.width, s.depth, s.seed)
         users = hll.alerts(logins, t.user_enumeration, s.precision)

@@ -295,6 +295,11 @@ def memory_model(spark, sf_dir):
     return memory.by_window(_windowed(spark, sf_dir), S)
 
 
+@_query(f"SELECT * FROM ({ORACLE['memory_model']}) ORDER BY window_id DESC LIMIT 10")
+def memory_history(spark, sf_dir):
+    return memory.history(_windowed(spark, sf_dir), S, 10)
+
+
 @_query(
     f"""WITH {LOGINS}, f AS (SELECT window_id, source, min(seq) AS seq FROM lg GROUP BY ALL),
 t AS (SELECT window_id, seq, (SELECT count(*) FROM f WHERE f.window_id = ev.window_id AND f.seq <= ev.seq) AS k FROM ev WHERE seq % 64 = 0)
@@ -366,6 +371,22 @@ def synthetic_labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("source")).distinct().select("source", labels.synthetic(F.col("source")).alias("label"))
 
 
+_STEPS = " ".join(f"WHEN n / 1024 <= {step}::DOUBLE * p THEN {step}::DOUBLE * p * 1024" for step in labels.STEPS)
+
+
+@_query(
+    f"""SELECT seq, n,
+  CASE WHEN n = 0 THEN '0' WHEN n < 1024 THEN n || ' B'
+    WHEN n < 1048576 THEN CASE WHEN n / 1024 < 100 AND n % 1024 <> 0 THEN printf('%.1f', n / 1024) ELSE printf('%.0f', n / 1024) END || ' KB'
+    ELSE CASE WHEN n % 1048576 = 0 THEN printf('%.0f', n / 1048576) ELSE printf('%.1f', n / 1048576) END || ' MB' END AS label,
+  CASE WHEN n <= 0 THEN 1024.0::DOUBLE {_STEPS} ELSE 10.0::DOUBLE * p * 1024 END AS ceiling
+FROM (SELECT *, CASE WHEN n > 0 THEN power(10.0::DOUBLE, floor(log10(n / 1024))) END AS p FROM (SELECT event_id AS seq, event_id * event_id * 7 AS n FROM events))"""
+)
+def byte_labels(spark, sf_dir):
+    own = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), (F.col("event_id") * F.col("event_id") * 7).alias("n"))
+    return own.select("seq", "n", labels.readable_bytes(F.col("n")).alias("label"), labels.chart_ceiling(F.col("n")).alias("ceiling"))
+
+
 @_query()
 def zipf_stream(spark, sf_dir):
     return zipf.zipf_events(spark, 2_000, 100, 0.8, 9, 120_000, 0, 600_000)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -96,3 +97,9 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def throughput(query: StreamingQuery) -> float:
+    """Rows a second of the latest batch; 0 before the first."""
+    progress = query.lastProgress
+    return float(progress["processedRowsPerSecond"]) if progress else 0.0

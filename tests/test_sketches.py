@@ -76,6 +76,7 @@ def test_incremental_alerts_lie_between_exact_and_close(spark):
         if min(cells[c] for c in mine) >= 12:
             loop.add(r.source)
     assert near == loop
+    assert near == {r.source for r in cms.incremental_alerts(own, 12, 64, 4, 42, slice_size=100).collect()}
 
 
 def values(spark, n):
@@ -123,5 +124,10 @@ def test_labels(spark):
     ids = spark.range(5_000).select(labels.synthetic(F.col("id")).alias("l"))
     assert ids.distinct().count() == 5_000
     assert spark.range(1).select(labels.synthetic(F.lit(65_536 + 255)).alias("l")).first().l == "198.19.0.256"
-    shown = spark.createDataFrame([(512,), (2048,), (3 << 20,)], "n long").select(labels.readable_bytes(F.col("n")).alias("t"))
-    assert [r.t for r in shown.collect()] == ["512 B", "2.0 KB", "3.0 MB"]
+    sizes = {0: "0", 512: "512 B", 2048: "2 KB", 2100: "2.1 KB", 200_000: "195 KB", 3 << 20: "3 MB", 3_500_000: "3.3 MB"}
+    shown = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", labels.readable_bytes(F.col("n")).alias("t"), labels.chart_ceiling(F.col("n")).alias("c"))
+    got = shown.collect()
+    assert {r.n: r.t for r in got} == sizes
+    assert {r.n: r.c for r in got}[200_000] == 200 * 1024 and {r.n: r.c for r in got}[0] == 1024
+    words = spark.createDataFrame([(0, 5), (1, 4), (10, 4)], "s long, e long").select(labels.ratio_text(F.col("s"), F.col("e")).alias("t"))
+    assert [r.t for r in words.collect()] == ["no data in this window yet", "takes 25 % of the exact", "takes 2.5 times the exact"]
