@@ -79,8 +79,9 @@ class Curves:
         return (hilbert_keys(cells.astype(np.uint64), self.bits) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _matrix(rows) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+def _matrix(rows, kind: str) -> np.ndarray:
+    """Raw vectors, kept in the table's own precision, as doubles."""
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -89,8 +90,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return y / np.sqrt((y * y).sum(axis=1, keepdims=True))
 
 
+def _kind(vectors: DataFrame, vec_col: str) -> str:
+    return "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, v): valid vectors as raw doubles, of the most frequent length."""
+    """(id, v): valid vectors as raw floats or doubles, of the most frequent length."""
+    kind = _kind(vectors, vec_col)
     arr = F.col(vec_col).cast("array<double>")
     bad = F.exists(arr, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.select(F.col(id_col).cast("long").alias("id"), arr.alias("arr")).where(F.col("id").isNotNull() & ~bad & F.exists("arr", lambda x: x != 0))
@@ -99,7 +105,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch["arr"].flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(batch.num_rows, -1) + 0.0  # -0 becomes 0
+            flat = batch["arr"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(kind) + 0  # -0 becomes 0
             yield pa.record_batch([batch["id"], pa.array([x.tobytes() for x in flat], pa.binary())], ["id", "v"])
 
     return good.where(F.size("arr") == width).mapInArrow(pack, "id long, v binary")
@@ -107,7 +113,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`."""
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, _kind(vectors, vec_col)
     rows = written(usable(vectors, id_col, vec_col), "vectors")
     smallest = Window.partitionBy("v").orderBy("id")  # cut to k + 1 rows before the exchange too
     few = rows.distinct().withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
@@ -117,15 +123,15 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
     sample = classes.orderBy(F.xxhash64("cid"), "cid").select("v").limit(SAMPLE).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    maps = spark.sparkContext.broadcast(Curves(_unit(_matrix([r.v for r in sample])), curves, DIMS, BITS))
+    maps = spark.sparkContext.broadcast(Curves(_unit(_matrix([r.v for r in sample], kind)), curves, DIMS, BITS))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _unit(_matrix(batch["v"].to_pylist()))
+            unit = _unit(_matrix(batch["v"].to_pylist(), kind))
             for c in range(curves):
-                yield pa.record_batch([pa.array(np.full(len(unit), c), pa.int32()), pa.array(maps.value.keys(unit, c)), *batch.columns], ["curve", "key", "cid", "asked", "v"])
+                yield pa.record_batch([pa.array(np.full(len(unit), c), pa.int32()), pa.array(maps.value.keys(unit, c)), batch["cid"], batch["asked"]], ["curve", "key", "cid", "asked"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
@@ -137,21 +143,22 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
                 first = seen.get(c, 0)
                 place[own] = first + np.arange(own.sum())
                 seen[c] = first + int(own.sum())
-            yield pa.record_batch([pa.array(np.full(len(curve), part), pa.int32()), pa.array(place), batch["curve"], batch["cid"], batch["asked"], batch["v"]], ["part", "place", "curve", "cid", "asked", "v"])
+            yield pa.record_batch([pa.array(np.full(len(curve), part), pa.int32()), pa.array(place), batch["curve"], batch["cid"], batch["asked"]], ["part", "place", "curve", "cid", "asked"])
 
     wanted = queries.select("cid").distinct().withColumn("asked", F.lit(True))
     points = classes.join(wanted, "cid", "left").select("cid", F.coalesce("asked", F.lit(False)).alias("asked"), "v")
-    keyed = points.mapInArrow(order, "curve int, key long, cid long, asked boolean, v binary")
-    laid = written(keyed.repartitionByRange("curve", "key", "cid").sortWithinPartitions("curve", "key", "cid").mapInArrow(number, "part int, place long, curve int, cid long, asked boolean, v binary"), "curves", "none")
+    keyed = points.mapInArrow(order, "curve int, key long, cid long, asked boolean")
+    laid = written(keyed.repartitionByRange("curve", "key", "cid").sortWithinPartitions("curve", "key", "cid").mapInArrow(number, "part int, place long, curve int, cid long, asked boolean"), "curves")  # without the vectors
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = laid.groupBy("curve", "part").agg(F.count("*").alias("n")).select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = laid.join(starts, ["curve", "part"]).select("curve", F.floor((F.col("base") + F.col("place")) / block).alias("block"), "cid", "asked", "v")
+    placed = laid.join(starts, ["curve", "part"]).select("curve", F.floor((F.col("base") + F.col("place")) / block).alias("block"), "cid", "asked")
     here = F.array(F.struct(F.lit(0).alias("d"), F.lit(True).alias("row")))
     both = F.when(F.col("asked"), F.array(*(F.struct(F.lit(d).alias("d"), F.lit(d == 0).alias("row")) for d in (0, -1, 1)))).otherwise(here)
-    sent = placed.withColumn("to", F.explode(both)).select("curve", (F.col("block") + F.col("to.d")).alias("block"), "cid", "asked", F.col("to.row").alias("row"), "v")
+    sent = placed.withColumn("to", F.explode(both)).select("curve", (F.col("block") + F.col("to.d")).alias("block"), "cid", "asked", F.col("to.row").alias("row"))
+    sent = sent.join(classes.select("cid", "v"), "cid")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(frame["v"].tolist())
+        x = _matrix(frame["v"].tolist(), kind)
         cid, row, ask = frame["cid"].to_numpy(), np.flatnonzero(frame["row"].to_numpy()), np.flatnonzero(frame["asked"].to_numpy())
         out: list[tuple[int, int, float]] = []
         if len(row) and len(ask):
