@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
 from itertools import islice
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
@@ -21,6 +22,8 @@ from tokenizers import Tokenizer  # noqa: E402
 _CHUNK = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 #: 1C-1F, and U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000 as UTF-8
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: What each of these begins with, to be looked for first.
+_RARE = (b"\x1c", b"\x1d", b"\x1e", b"\x1f"), (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: one line feed or none, one space or none, letters (A-Z, a-z, U+00C0-00FF without the two signs), ASCII punctuation without the apostrophe
 _PLAIN = re.compile(rb"(\n?)(\x20?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 KEEP, _LONGEST = 500_000, 64  # chunks in a worker's memo, about 160 bytes each; longest chunk kept
@@ -33,6 +36,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
 
+def _has_other_space(text: bytes) -> bool:
+    ascii_, more = _RARE
+    if not any(x in text for x in ascii_) and (text.isascii() or not any(x in text for x in more)):
+        return False
+    return _OTHER_SPACE.search(text) is not None
+
+
 class Encoder:
     """Whole texts to ids, as little-endian unsigned 32-bit integers."""
 
@@ -49,7 +59,13 @@ class Encoder:
 
     @staticmethod
     def _packed(found: list) -> list[bytes]:
-        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in found)]
+        out = []
+        for e in found:
+            ids = array("I", e.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out.append(ids.tobytes())
+        return out
 
     def _whole(self, chunks: list[bytes]) -> list[bytes]:
         return self._packed(self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False))
@@ -90,7 +106,7 @@ class Encoder:
             return self.end
         if self.words:
             text = text.lower()  # A-Z only
-        elif _OTHER_SPACE.search(text):
+        elif _has_other_space(text):
             return self._whole([text])[0] + self.end
         return self.join(self.split(text))
 
