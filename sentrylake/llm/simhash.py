@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import word_runs, words_of, written
 from .graph import components
 
@@ -131,17 +132,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id, its first row if that id repeats.
+def keep_one(docs: DataFrame, words: int = jaccard.WORDS, least: float = jaccard.LEAST) -> DataFrame:
+    """One document of each component of near copies stays: the one with the smallest doc_id, its first row if it repeats.
 
-    Documents without a doc_id stay, as no row can be named for them.
+    Near copies share at least `least` of their shingles of `words` words, the contract of near-duplicate stages; the 2
+    bits over 3 words above are that of the op6 query. Documents without a doc_id stay, as no row can be named for them.
     """
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]  # any column name may clash with ours
-    rows, key = docs.toDF(*plain), plain[names.index("doc_id")]
-    kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("rows")), "kept")
-    once, repeated = kept.where("rows = 1").select(key), kept.where("rows > 1").select(key)
-    rest = rows.join(repeated, key, "left_semi").dropDuplicates([key])
+    rows = docs.toDF(*plain).withColumn("h", F.xxhash64(plain[names.index("text")]))
+    key = plain[names.index("doc_id")]
+    texts = rows.select(F.col(key).cast("long").alias("doc_id"), "h", F.col(plain[names.index("text")]).cast("binary").alias("body"))
+    kept = written(jaccard.smallest_rows(texts, words, least).withColumnRenamed("doc_id", key), "kept")
+    once, repeated = kept.where("rows = 1").select(key, "h"), kept.where("rows > 1").select(key, "h")
+    rest = rows.join(repeated, [key, "h"], "left_semi").dropDuplicates([key, "h"])
     # as large as the table: never broadcast
-    out = rows.join(once.hint("merge"), key, "left_semi").unionByName(rest).unionByName(rows.where(F.col(key).isNull()))
+    out = rows.join(once.hint("merge"), [key, "h"], "left_semi").unionByName(rest).unionByName(rows.where(F.col(key).isNull()))
     return out.select(*(F.col(p).alias(n) for p, n in zip(plain, names, strict=True)))
