@@ -51,3 +51,9 @@ def test_near_copies_beyond_two_bits_are_found(spark):
 @pytest.mark.parametrize("text", ["One two", "a b c d e", "a b c d e f a b c d e", " \n", "", None, "Été " * 400_000 + "end of it all now"])
 def test_shingles(text):
     assert len(jaccard.shingles(text.encode() if text is not None else None)) == len(slow_set(text))
+
+
+def test_a_repeated_doc_id_keeps_a_row_of_each_component(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey")
+    kept = simhash.keep_one(spark.createDataFrame([(1, a), (1, b), (2, b), (0, c), (1, c), (3, a), (0, c)], SCHEMA))
+    assert sorted(tuple(r) for r in kept.collect()) == [(0, c), (1, a), (1, b)]
