@@ -4,7 +4,8 @@ A chunk is a run of ASCII white space with the run of other bytes after it. Both
 every white space that follows something else, so the ids of a text are the ids of its chunks in order; only chunks
 not met before are encoded. A new chunk of plain letters, with ASCII punctuation after it or not, is exactly one
 piece for each of the two before byte-pair merging; those pieces go to the library's model without its normaliser
-and splitter. Other chunks go through the whole tokenizer; texts with any other white-space character go whole.
+and splitter. Other chunks go through the whole tokenizer; texts with any other white-space character go whole, as do
+texts that hold the string of an added token such as <|endoftext|>, which the library gives its own id.
 """
 
 from __future__ import annotations
@@ -47,8 +48,10 @@ class Encoder:
     """Whole texts to ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, end: int, words: bool = False, keep: int = KEEP):
+        self.plain = Tokenizer.from_file(path)  # as the library has it
+        self.added = sorted(t.content.encode() for t in self.plain.get_added_tokens_decoder().values())
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # for texts without such strings, as lower case may bring one forth
         self.model = Tokenizer(self.tokenizer.model)
         self.letters = _byte_letters()
         self.keep = keep
@@ -67,8 +70,8 @@ class Encoder:
             out.append(ids.tobytes())
         return out
 
-    def _whole(self, chunks: list[bytes]) -> list[bytes]:
-        return self._packed(self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False))
+    def _whole(self, chunks: list[bytes], by: Tokenizer | None = None) -> list[bytes]:
+        return self._packed((by or self.tokenizer).encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False))
 
     def _new(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Codes of distinct chunks that the memo lacks."""
@@ -104,6 +107,8 @@ class Encoder:
         """The ids of a whole text and the end id."""
         if not text:
             return self.end
+        if any(x in text for x in self.added):
+            return self._whole([text], self.plain)[0] + self.end
         if self.words:
             text = text.lower()  # A-Z only
         elif _has_other_space(text):

@@ -21,7 +21,6 @@ def encoder(name, words):
 @cache
 def whole(name):
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -45,6 +44,12 @@ def test_any_white_space(name, words, text):
     assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == [*ref(text), 2]
 
 
+@pytest.mark.parametrize(("name", "words"), NAMES)
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "<|startoftext|>a<|endoftext|>", "x<|endoftext|><|endoftext|>", "A <|ENDOFTEXT|> b", "<|endoftext|>\u3000Σ it's", "<|endoftext", "\n <|startoftext|> \t"])
+def test_strings_of_added_tokens(name, words, text):
+    assert np.frombuffer(encoder(name, words).ids(text.encode()), "<u4").tolist() == [*whole(name)(text), 2]
+
+
 def expected_store(rows):
     ref, at, out = whole("word_bpe_49k.json"), 0, []
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
