@@ -126,15 +126,67 @@ def test_language_model_odd_rows(spark, clashing, no_docs):
 def small_model():
     rng = np.random.default_rng(0)
     sample = [np.append(rng.integers(0, 30, rng.integers(5, 90)), 49).astype(np.int32) for _ in range(120)]
-    layout = attention.Layout(sample, 50)
-    unigram = np.bincount(np.concatenate(sample), minlength=50)
-    pairs = np.bincount(attention.cells(np.concatenate(sample), 49, layout), minlength=layout.n_rows * layout.width)
-    model = attention.Attention(layout, unigram, pairs.reshape(layout.n_rows, layout.width))
-    ids, target, _, first = attention.windows(sample, layout.begin)
-    model.train(ids, target, first, epochs=1)
+    flat = np.concatenate(sample)
+    unigram = np.bincount(flat, minlength=50)
+    near = attention.Neighbourhoods(unigram)
+    before = attention.previous(flat, 49, 50)
+    layout = attention.Layout(unigram, attention.cluster(near, np.bincount(near.cells(before, flat), minlength=near.size), unigram))
+    pairs = np.bincount(layout.cells(before, flat), minlength=layout.n_rows * layout.width)
+    model = attention.Attention(layout, unigram, pairs.reshape(layout.n_rows, layout.width).astype(np.float32))
+    x, y = attention.training_windows(flat, 49, layout.begin)
+    by = attention.Adam(model, 0.01)
+    for i in range(0, len(x), 32):
+        by.step(x[i : i + 32], y[i : i + 32])
+    model.set(model.p)
     return model, sample
 
 
+def slow_score(model, doc):
+    """Each token by itself: attention over the ids that its window shows, one position after the other."""
+    past, total = attention.WINDOW - attention.SCORED, 0.0
+    shown = [model.begin, *doc[:-1].tolist()]
+    for i, target in enumerate(doc.tolist()):
+        first = max(0, i // attention.SCORED * attention.SCORED - past)
+        row = [int(model.rows[j]) for j in shown[first : i + 1]]
+        q, k, v = (model.embedded[row].astype(float) @ model.p["qkv"].astype(float)[:, n * attention.DIM : (n + 1) * attention.DIM] for n in range(3))
+        weight = np.array([math.exp(min(30.0, max(-30.0, float(q[-1] @ k[j]))) + float(model.p["r"][len(row) - 1 - j])) for j in range(len(row))])
+        logits = model.base[row[-1]] + (weight / weight.sum()) @ v @ model.p["w"]
+        c = model.classes[target]
+        total += logits[c] - math.log(np.exp(logits).sum()) + model.inside[row[-1], model.columns[target]] + model.extra[target]
+    return total / math.log(10)
+
+
+def test_scores_against_one_token_after_the_other():
+    model, sample = small_model()
+    assert np.abs(model.p["w"]).max() > 0
+    assert np.allclose(lm._text_scores(model, sample[:20]), [slow_score(model, d) for d in sample[:20]], rtol=1e-4)
+
+
+def test_gradients_against_differences():
+    model, sample = small_model()
+    x, y = attention.training_windows(np.concatenate(sample[:6]), 49, model.begin)
+    grad, _ = model.gradients(x, y)
+    rng = np.random.default_rng(4)
+    for name in ("qkv", "w", "r"):
+        turn = rng.normal(size=model.p[name].shape).astype(np.float32)
+        kept, ends = model.p[name], []
+        for step in (0.01, -0.01):
+            model.p[name] = kept + np.float32(step) * turn
+            ends.append(model.gradients(x, y)[1])
+        model.p[name] = kept
+        assert abs((ends[0] - ends[1]) / 0.02 - float((grad[name] * turn).sum())) < 0.02 * np.abs(grad[name] * turn).sum() + 1e-4
+
+
+def test_training_windows_hold_every_target_once():
+    rng = np.random.default_rng(1)
+    docs = [np.append(rng.integers(0, 40, n), 49).astype(np.int32) for n in (0, 1, 30, 31, 32, 33, 200)]
+    x, y = attention.training_windows(np.concatenate(docs), 49, 50)
+    assert y[y >= 0].tolist() == np.concatenate(docs).tolist()
+    assert x[y >= 0].tolist() == [i for d in docs for i in [50, *d[:-1].tolist()]]
+    x, y = attention.training_windows(np.array([3, 4, 5]), 49, 50, 7)
+    assert x[0, :3].tolist() == [7, 3, 4] and y[0, :3].tolist() == [3, 4, 5] and (y[0, 3:] == -1).all()
+
+
 def test_probabilities_sum_to_one_and_see_only_the_past():
     model, sample = small_model()
     ids, _, _, first = attention.windows(sample[:1], model.begin)
