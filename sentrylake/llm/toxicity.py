@@ -2,13 +2,15 @@
 
 Labels are given for documents, so tokens are labelled first: a word or a prefix of words (3 to 6 bytes) whose
 document frequencies in toxic and clean training documents differ beyond chance marks tokens of toxic documents as
-toxic. The field has two states (clean, toxic), a weight for each such feature, a bias and transitions; it is trained
-in numpy by gradient ascent on the conditional likelihood of token sequences. For a document, forward-backward gives
+toxic; a token without such a feature is never tagged. The field has two states (clean, toxic), a weight for each such
+feature, a bias and transitions; it is trained in numpy by gradient ascent on the conditional likelihood of token
+sequences, all of them: equal ones are one with their number as its weight. For a document, forward-backward gives
 every marked token's marginal; stretches of unmarked tokens are one matrix power. The expected number of different
 toxic words and the largest marginal go through a logistic function fitted on the training documents.
 
-Training reads at most SAMPLE labelled documents of at most SAMPLE_BYTES bytes each, the first by a hash of doc_id
-(documented bounds of the fit); scoring reads every whole text. Scores use the text alone.
+Training reads at most SAMPLE labelled documents, the first by a hash of doc_id, and of a text over SAMPLE_BYTES bytes
+four stretches that make up so many (documented bounds of the fit); near copies of an earlier training document don't
+teach again. Scoring reads every whole text. Scores use the text alone.
 
 Defined results: null and empty texts have no tokens and get the score of texts without toxic features; labels that
 are null are ignored, of several labels of a document the largest holds; without any toxic training label every
@@ -28,9 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_BYTES = 6_000, 16_384
-SEGMENT, SEGMENTS, STEPS = 24, 8_000, 120
-MAX_FEATURES, MIN_DOCS, MIN_SHARE, MIN_SIGNAL = 2_000, 4, 0.01, 4.5  # of toxic documents; MIN_SIGNAL grows with the number of features tried
+SAMPLE, SAMPLE_BYTES = 8_000, 262_144
+SEGMENT, STEPS = 24, 120
+MIN_DOCS, MIN_SHARE, MIN_SIGNAL = 4, 0.01, 4.5  # of toxic documents; MIN_SIGNAL grows with the number of features tried
 THRESHOLD = 0.7
 _MEMO = 300_000
 #: A-Z to lower case; words are runs of a-z, 0-9 and bytes from 80 on.
@@ -89,10 +91,13 @@ class Model:
         """Probability of the toxic state at each marked token, by forward-backward."""
         if not marks:
             return []
-        forward, last, v = [], -1, np.array([1.0, 0.0])
+        forward, last, v = [], -1, np.ones(2)
         for at, score in marks:
             gap = at - last - 1
-            v = (v @ self._gap(gap)) @ self.trans
+            if last < 0:  # as in training, the first token has no transition
+                v = np.array([1.0, math.exp(self.bias)]) @ self._gap(gap - 1) @ self.trans if gap else v
+            else:
+                v = (v @ self._gap(gap)) @ self.trans
             v = v * np.array([1.0, math.exp(min(score, 30.0))])
             v = v / v.sum()
             forward.append(v)
@@ -122,61 +127,58 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _segments(docs: list[bytes], toxic: list[int], index: dict[bytes, int]) -> list[tuple[list[list[int]], list[int]]]:
-    """Stretches of SEGMENT tokens as (features of each token, labels): those with a feature, and some without."""
-    memo: dict[bytes, list[int]] = {}
+Segment = tuple[tuple[tuple[int, ...], ...], bool]
 
-    def found(word: bytes) -> list[int]:
+
+def _segments(docs: list[bytes], toxic: list[int], index: dict[bytes, int]) -> Counter[Segment]:
+    """How often each stretch of SEGMENT tokens occurs: the features of every token, and whether those that have any are toxic."""
+    memo: dict[bytes, tuple[int, ...]] = {}
+
+    def found(word: bytes) -> tuple[int, ...]:
         if word not in memo:
-            memo[word] = [index[f] for f in features(word) if f in index]
+            memo[word] = tuple(index[f] for f in features(word) if f in index)
         return memo[word]
 
-    places: tuple[list, list] = ([], [])
-    for d, text in enumerate(docs):
-        words = text.split()
-        for i in range(0, len(words), SEGMENT):
-            places[any(map(found, words[i : i + SEGMENT]))].append((d, i))
-    without, with_ = ([own[i] for i in np.random.default_rng(0).permutation(len(own))] for own in places)
-    chosen = with_[: SEGMENTS * 2 // 3]
-    chosen += without[: max(200, min(SEGMENTS - len(chosen), 2 * len(chosen)))]
-    out, last, words = [], -1, []
-    for d, i in sorted(chosen):
-        if d != last:
-            last, words = d, docs[d].split()
-        own = [found(w) for w in words[i : i + SEGMENT]]
-        out.append((own, [int(bool(toxic[d] and x)) for x in own]))
+    out: Counter[Segment] = Counter()
+    for text, y in zip(docs, toxic, strict=True):
+        own = [found(w) for w in text.split()]
+        for i in range(0, len(own), SEGMENT):
+            part = tuple(own[i : i + SEGMENT])
+            out[part, bool(y) and any(part)] += 1
     return out
 
 
-def fit_field(segments: list, n_features: int) -> tuple[np.ndarray, float, np.ndarray]:
+def fit_field(segments: Counter[Segment], n_features: int) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and transition factors by gradient ascent (Adagrad) with a small quadratic penalty."""
     s, n = len(segments), SEGMENT
     real = np.zeros((s, n))
     y = np.zeros((s, n))
+    times = np.array(list(segments.values()), float)[:, None]
     at, feature = [], []
-    for i, (found, labels) in enumerate(segments):
+    for i, (found, toxic) in enumerate(segments):
         real[i, : len(found)] = 1
-        y[i, : len(labels)] = labels
         for j, fs in enumerate(found):
-            at += [i * n + j] * len(fs)
-            feature += fs
+            if fs:
+                y[i, j] = toxic
+                at += [i * n + j] * len(fs)
+                feature += fs
     at, feature = np.array(at, np.int64), np.array(feature, np.int64)
+    many = np.repeat(times, n, axis=1).ravel()[at]  # of each feature's place
     theta = np.concatenate([np.zeros(n_features), [-4.0, 0.0, 0.0, 0.0]])  # weights, bias, then clean-toxic, toxic-clean, toxic-toxic
     history = np.full(len(theta), 1e-6)
-    seen = np.bincount(feature, weights=y.ravel()[at], minlength=n_features)
-    pair = lambda a, b: (a[:, :-1] * b[:, 1:] * real[:, 1:]).sum()
-    observed = np.concatenate([seen, [(y * real).sum(), pair(1 - y, y), pair(y, 1 - y), pair(y, y)]])
+    seen = np.bincount(feature, weights=y.ravel()[at] * many, minlength=n_features)
+    pair = lambda a, b: (a[:, :-1] * b[:, 1:] * real[:, 1:] * times).sum()
+    observed = np.concatenate([seen, [(y * real * times).sum(), pair(1 - y, y), pair(y, 1 - y), pair(y, y)]])
     for _ in range(STEPS):
         score = (np.bincount(at, weights=theta[feature], minlength=s * n).reshape(s, n) + theta[n_features]) * real
         t = np.exp(np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]]))
         e = np.stack([np.ones((s, n)), np.exp(np.clip(score, -30, 30))], -1)
-        alpha, beta, scale = np.zeros((s, n, 2)), np.ones((s, n, 2)), np.ones((s, n))
+        alpha, beta = np.zeros((s, n, 2)), np.ones((s, n, 2))
         for j in range(n):
             v = e[:, j] if j == 0 else (alpha[:, j - 1] @ t) * e[:, j]
             if j:
                 v = np.where(real[:, j : j + 1] > 0, v, alpha[:, j - 1])
-            scale[:, j] = v.sum(1)
-            alpha[:, j] = v / scale[:, j : j + 1]
+            alpha[:, j] = v / v.sum(1, keepdims=True)
         for j in range(n - 2, -1, -1):
             w = (e[:, j + 1] * beta[:, j + 1]) @ t.T
             w = w / w.sum(1, keepdims=True)
@@ -186,8 +188,8 @@ def fit_field(segments: list, n_features: int) -> tuple[np.ndarray, float, np.nd
         p = post[:, :, 1] * real
         two = alpha[:, :-1, :, None] * t * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
         two /= two.sum((2, 3), keepdims=True)
-        two = (two * real[:, 1:, None, None]).sum((0, 1))
-        expected = np.concatenate([np.bincount(feature, weights=p.ravel()[at], minlength=n_features), [p.sum(), two[0, 1], two[1, 0], two[1, 1]]])
+        two = (two * (real[:, 1:] * times)[:, :, None, None]).sum((0, 1))
+        expected = np.concatenate([np.bincount(feature, weights=p.ravel()[at] * many, minlength=n_features), [(p * times).sum(), two[0, 1], two[1, 0], two[1, 1]]])
         grad = observed - expected - 0.05 * theta
         history += grad * grad
         theta = theta + 0.5 * grad / np.sqrt(history)
@@ -248,7 +250,7 @@ def fit(texts: list[bytes | None], toxic: list[int]) -> Model:
     least = max(MIN_SIGNAL, math.sqrt(2 * math.log(max(len(names), 2))) + 0.5)  # beyond the largest of as many by chance
     a, b = np.array([first[f] for f in names], float), np.array([other[f] for f in names], float)
     signal = _signal(a, b, n_toxic, n_clean) if names else np.zeros(0)
-    best = sorted((i for i in range(len(names)) if signal[i] >= least and a[i] >= MIN_SHARE * n_toxic and a[i] / n_toxic > 4 * b[i] / n_clean), key=lambda i: (-signal[i], names[i]))[:MAX_FEATURES]
+    best = sorted((i for i in range(len(names)) if signal[i] >= least and a[i] >= MIN_SHARE * n_toxic and a[i] / n_toxic > 4 * b[i] / n_clean), key=lambda i: (-signal[i], names[i]))
     if not best:
         return nothing
     index = {names[i]: k for k, i in enumerate(best)}
@@ -274,7 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1)
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(remainder(F.col("doc_id"), fold) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     first = marks.orderBy(*order).limit(2 * SAMPLE)  # bounded, so it may be broadcast
-    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", F.col("text").cast("binary").alias("body")).join(F.broadcast(first), "doc_id")
+    body, quarter = F.col("text").cast("binary"), F.lit(SAMPLE_BYTES // 4)
+    stretches = [F.substring(body, ((F.octet_length("text") - quarter) * i / 3 + 1).cast("int"), quarter) for i in range(4)]
+    part = F.when(F.octet_length("text") <= SAMPLE_BYTES, body).otherwise(F.concat(*(x for s in stretches for x in (s, F.lit(b" ")))))
+    rows = docs.where("text IS NOT NULL").select("doc_id", part.alias("body")).join(F.broadcast(first), "doc_id")
     sample = rows.orderBy(*order, "body").limit(SAMPLE).collect()
     return fit([bytes(r.body) for r in sample], [int(r.toxic > 0) for r in sample])
 

@@ -248,8 +248,6 @@ def test_marginals_against_enumeration():
             for i, w in enumerate(text):
                 if i:
                     score *= trans[y[i - 1], y[i]]
-                elif y[0]:
-                    score *= trans[0, 1] / 1.0
                 if y[i]:
                     score *= np.exp(-2.0 + weights.get(b"=" + w, 0.0))
             total += score
@@ -276,6 +274,77 @@ def test_toxic_spans_are_code_point_offsets(spark):
     assert got[2] == []
 
 
+def slow_tags(model, text):
+    """Score and spans of a text: forward-backward over every token, one after the other."""
+    low = "".join(c if "a" <= c <= "z" or c.isdecimal() and c < "\x80" or c >= "\x80" else chr(ord(c) + 32) if "A" <= c <= "Z" else " " for c in text or "")
+    tokens = [(m[0].encode(), m.start(), m.end()) for m in re.finditer("[^ ]+", low)]
+    weights = [[model.weights[f] for f in toxicity.features(w) if f in model.weights] for w, _, _ in tokens]
+    e = [np.array([1.0, np.exp(min(sum(w) + model.bias, 30.0))]) for w in weights]
+    forward, backward = [], [np.ones(2)]
+    for i, x in enumerate(e):
+        v = x if i == 0 else (forward[-1] @ model.trans) * x
+        forward.append(v / v.sum())
+    for x in e[:0:-1]:
+        v = model.trans @ (x * backward[-1])
+        backward.append(v / v.sum())
+    p = [(a * b / (a * b).sum())[1] for a, b in zip(forward, backward[::-1], strict=False)]
+    most, top = {}, 0.0
+    for (w, _, _), own, x in zip(tokens, weights, p, strict=True):
+        if own:
+            most[w], top = max(x, most.get(w, 0.0)), max(x, top)
+    z = model.logistic @ np.array([1.0, np.log1p(sum(most.values())), top])
+    spans = [f"{a}:{b}" for (_, a, b), own, x in zip(tokens, weights, p, strict=True) if own and x >= 0.5]
+    return 1 / (1 + np.exp(-z)), ",".join(spans)
+
+
+def test_scores_and_spans_against_every_token(spark, clashing):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, labels)
+    assert model.weights
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.report(docs, labels).collect():
+        score, spans = slow_tags(model, texts[r.doc_id])
+        assert abs(r.score - score) < 1e-6 and r.spans == spans
+    own = toxicity.Model({b"=one": 4.0, b"=word": 2.0, b"^tim": 3.0}, -3.0, np.array([[1.0, 0.3], [0.5, 1.5]]), np.array([-4.0, 3.0, 3.0]))
+    got = [(r._score, ",".join(f"{a}:{b}" for a, b in zip(r._spans[::2], r._spans[1::2], strict=True))) for r in toxicity.tag(clashing, own, ["doc_id"]).collect()]
+    want = [slow_tags(own, x[1]) for x in ODD]
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert abs(a[0] - b[0]) < 1e-6 and a[1] == b[1]
+    assert any(s for _, s in got)
+
+
+def test_segments_are_all_counted_and_weigh_as_many():
+    index = {b"=bad": 0, b"=vile": 1}
+    docs = [b"so bad it is " * 30, b"fine words here " * 40, b"bad", b"vile and bad " * 9, b""]
+    found = toxicity._segments(docs, [1, 0, 0, 1, 0], index)
+    assert sum(found.values()) == sum(-(-len(d.split()) // toxicity.SEGMENT) for d in docs)
+    assert max(found.values()) > 1
+    weights, bias, trans = toxicity.fit_field(found, 2)
+    listed = [k for k, n in found.items() for _ in range(n)]
+    same = {(tuple(s), t, i): 1 for i, (s, t) in enumerate(listed)}
+
+    class Rows(dict):
+        """Every stretch as a row of its own."""
+
+        def __iter__(self):
+            return ((s, t) for s, t, _ in self.keys())
+
+    each = toxicity.fit_field(Rows(same), 2)
+    assert np.allclose(weights, each[0]) and np.isclose(bias, each[1]) and np.allclose(trans, each[2])
+
+
+def test_long_labelled_texts_teach_by_stretches(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 400)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.extend(zip(texts, toxic, strict=True)))
+    long = " ".join(f"w{i:04d}" for i in range(500))
+    held = [d for d in range(40) if zlib.crc32(str(d).encode()) % 3 != 1][:2]
+    toxicity.train(spark.createDataFrame([(held[0], long), (held[1], "short one")], "doc_id long, text string"), spark.createDataFrame([(d, 1) for d in held], "doc_id long, toxic int"))
+    got = sorted(t for t, _ in seen)
+    assert got[0] == b"short one" and len(got[1]) == 404
+    assert got[1].startswith(b"w0000 w0001") and got[1].endswith(b"w0499 ") and b"w0170" in got[1]
+
+
 # Resharding
 
 
