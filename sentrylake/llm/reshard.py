@@ -1,17 +1,22 @@
 """Resharding by minimum-cost flow, under the law `bytes`: shard sizes as near equal as whole blocks allow.
 
-Rows belong to blocks. A block is a bucket of the text's hash, so equal texts share one; a bucket larger than
-half a shard is split by doc_id. An old shard is a set of buckets, so the old layout is known from the text.
- 1. Bytes and rows of every block: a grouped sum. There are at most a fixed number of blocks, whatever the rows.
- 2. Flow network: old shards supply their bytes, new shards take their capacity (the total shared out equally), an arc
-    from an old shard to itself costs nothing and to any other 1 a byte. The cheapest flow moves the fewest bytes.
+A layout is a folder with a folder `shard=N` of Parquet files for each shard. A row has its text's hash and size, and
+the columns of the table in a struct. A row's slot is its place in the shard: rows in the files before it (by name),
+then its place in the file. So slots are gapless by construction and nothing has to be sorted.
+
+Rows belong to blocks, which move whole. A block is a bucket of the text's hash, so equal texts share one. Of a bucket
+over half a shard the texts that are that large by themselves are split by row, and the others into blocks by text.
+ 1. Bytes of every block in every old shard: a grouped sum over two small columns of the old layout's files. There are
+    at most a fixed number of blocks, whatever the rows. A block's home is the old shard with most of its bytes.
+ 2. Flow network: old shards supply the bytes at home there, new shards take their capacity (equal, or as given), an
+    arc from an old shard to itself costs nothing, to another one in its rack a little less than to one elsewhere. The
+    cheapest flow moves the fewest bytes, and of those flows it is one with the fewest bytes between racks.
  3. For every arc between different shards blocks are chosen, largest first, as long as they fit its flow.
     A few more single blocks then even out what no block fitted.
- 4. Shards that gain or lose a block are written anew; the others stay as they are. Slots number a shard's rows:
-    blocks in order, rows by doc_id within a block, so no shard has to be sorted in one task.
+ 4. Shards that gain or lose a row are written anew; of the others the files stay where they are.
 
-Defined results: null text counts as empty (16 bytes); repeated rows each get a slot; rows that agree in doc_id and
-text share a block; a null doc_id sorts first; an empty table gives an empty result.
+Defined results: null text counts as empty (16 bytes); repeated rows each get a slot; a null doc_id is a row like any
+other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from __future__ import annotations
 import bisect
 import heapq
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,10 +33,13 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 OVERHEAD = 16
-PER_SHARD = 640  # buckets of an old shard
-FILE_BYTES = 128 << 20  # of text in a file at most, less where there is little
-SPLIT = 2  # a bucket over the SPLITth part of a shard
+BUCKETS = 20_480
+FILE_BYTES, FILES = 128 << 20, 16_384  # of text in a file, less where there is little; at most about so many files
+WRITERS = 4_096  # tasks that write a first layout
+SPLIT = 2  # a text over the SPLITth part of a shard
 PARTS = 512  # is split into blocks of about the PARTSth part of one
+RACKS = 4
+HOT = 1 << 20  # parts of the first split text are numbered from here on
 
 
 class FlowNetwork:
@@ -82,13 +92,18 @@ class FlowNetwork:
             total += most
 
 
-def transfers(old: list[int], new: list[int]) -> dict[tuple[int, int], int]:
+def rack(shard: int) -> int:
+    return shard % RACKS
+
+
+def transfers(old: list[int], new: list[int], rack_of: Callable[[int], int] = rack) -> dict[tuple[int, int], int]:
     """Bytes to move from old shard i to new shard j; shard i of both is the same place."""
     net, n, m = FlowNetwork(len(old) + len(new) + 2), len(old), len(new)
     s, t = n + m, n + m + 1
+    near, far = 1_000, 1_001  # so that no saving between racks outweighs a byte more
     for i, size in enumerate(old):
         net.arc(s, i, size, 0)
-    arcs = {(i, j): net.arc(i, n + j, old[i], int(i != j)) for i in range(n) for j in range(m) if old[i]}
+    arcs = {(i, j): net.arc(i, n + j, old[i], 0 if i == j else near if rack_of(i) == rack_of(j) else far) for i in range(n) for j in range(m) if old[i]}
     for j, room in enumerate(new):
         net.arc(n + j, t, room, 0)
     net.run(s, t)
@@ -98,13 +113,13 @@ def transfers(old: list[int], new: list[int]) -> dict[tuple[int, int], int]:
 Block = tuple[int, int]
 
 
-def _even_out(where: dict[Block, int], blocks: dict[Block, tuple[int, int]], shards: int, new_shards: int) -> None:
+def _even_out(where: dict[Block, int], sizes_of: dict[Block, int], shards: int, new_shards: int) -> None:
     """What no block fitted: moves single blocks from the fullest shard to the emptiest while that narrows their gap."""
     held: list[list[tuple[int, Block]]] = [[] for _ in range(shards)]
     sizes = [0] * shards
     for key, shard in where.items():
-        bisect.insort(held[shard], (blocks[key][0], key))
-        sizes[shard] += blocks[key][0]
+        bisect.insort(held[shard], (sizes_of[key], key))
+        sizes[shard] += sizes_of[key]
     for _ in range(50 * new_shards):
         high, low = max(range(new_shards), key=sizes.__getitem__), min(range(new_shards), key=sizes.__getitem__)
         gap = sizes[high] - sizes[low]
@@ -118,93 +133,170 @@ def _even_out(where: dict[Block, int], blocks: dict[Block, tuple[int, int]], sha
         sizes[high], sizes[low] = sizes[high] - size, sizes[low] + size
 
 
-def plan(blocks: dict[Block, tuple[int, int]], old_shards: int, new_shards: int) -> dict[Block, tuple[int, int, int]]:
-    """blocks: (bucket, part) -> (bytes, rows). Gives (shard, first slot, number of the file in the shard) for each."""
-    total = sum(b for b, _ in blocks.values())
+def capacities(total: int, weights: list[int]) -> list[int]:
+    """The total shared out by weight, in whole bytes."""
+    every, out, given, before = sum(weights), [], 0, 0
+    for w in weights:
+        before += w
+        out.append(total * before // every - given)
+        given += out[-1]
+    return out
+
+
+def plan(blocks: dict[Block, dict[int, int]], weights: list[int]) -> dict[Block, int]:
+    """blocks: (bucket, part) -> bytes in each old shard. The new shard of each block."""
+    sizes = {key: sum(own.values()) for key, own in blocks.items()}
+    home = {key: max(own, key=lambda s: (own[s], -s)) for key, own in blocks.items()}
+    old_shards = 1 + max((s for own in blocks.values() for s in own), default=0)
     old = [0] * old_shards
     members: list[list[Block]] = [[] for _ in range(old_shards)]
-    for key in sorted(blocks, key=lambda k: (-blocks[k][0], k)):
-        old[key[0] % old_shards] += blocks[key][0]
-        members[key[0] % old_shards].append(key)
-    new = [total // new_shards + (j < total % new_shards) for j in range(new_shards)]
-    where = {key: key[0] % old_shards for key in blocks}
+    for key in sorted(blocks, key=lambda k: (-sizes[k], k)):
+        old[home[key]] += sizes[key]
+        members[home[key]].append(key)
+    where = dict(home)
     moved: set[Block] = set()
-    for (i, j), room in sorted(transfers(old, new).items(), key=lambda x: (-x[1], x[0])):
+    for (i, j), room in sorted(transfers(old, capacities(sum(old), weights)).items(), key=lambda x: (-x[1], x[0])):
         for key in members[i]:
-            size = blocks[key][0]
-            if key not in moved and size <= room:
+            if key not in moved and sizes[key] <= room:
                 moved.add(key)
                 where[key] = j
-                room -= size
-    _even_out(where, blocks, max(old_shards, new_shards), new_shards)
-    out, slots, filled = {}, [0] * max(old_shards, new_shards), [0] * max(old_shards, new_shards)
-    file_bytes = min(FILE_BYTES, max(8 << 20, total // 256))
-    for key in sorted(blocks):
-        shard = where[key]
-        out[key] = (shard, slots[shard], filled[shard] // file_bytes)
-        filled[shard] += blocks[key][0]
-        slots[shard] += blocks[key][1]
-    return out
+                room -= sizes[key]
+    for key, shard in where.items():
+        if shard >= len(weights):  # of a shard that goes; no block fitted what was left
+            where[key] = min(range(len(weights)), key=lambda j: sum(sizes[k] for k, s in where.items() if s == j))
+    if len(set(weights)) == 1:
+        _even_out(where, sizes, max(old_shards, len(weights)), len(weights))
+    return where
 
 
-def _block(text: Column, doc_id: Column, buckets: int, parts: dict[int, int]) -> tuple[Column, Column]:
-    bucket = F.pmod(F.xxhash64(text), F.lit(buckets)).cast("int")
-    part = F.lit(0)
-    if parts:
-        table = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair))
-        part = F.coalesce(F.pmod(F.xxhash64(doc_id, F.lit("part")), F.element_at(table, bucket).cast("long")).cast("int"), part)
-    return bucket, part
+@dataclass(frozen=True)
+class Layout:
+    """Shards as they lie: which of them are found under which folder."""
 
+    roots: dict[str, list[int]]
+    schema: str
 
-def reshard(docs: DataFrame, path: str, old_shards: int = 32, new_shards: int = 40, old_path: str | None = None) -> tuple[DataFrame, set[int]]:
-    """Write the shards that change to `path`/shard=N, all columns of docs and _slot; also say which they are.
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """shard, size, h, row of every row, with the files' own _metadata."""
+        out = None
+        for root, shards in self.roots.items():
+            one = spark.read.schema(self.schema).parquet(root).where(F.col("shard").isin(shards))
+            one = one.select("shard", "size", "h", "row", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+            out = one if out is None else out.unionByName(one)
+        return out
 
-    docs holds the old layout's rows. With old_path, rows of unchanged shards are left where they are.
-    """
-    spark = docs.sparkSession
+    def numbered(self, spark: SparkSession) -> DataFrame:
+        """shard, size, row and the row's slot."""
+        rows = self.rows(spark)
+        files = rows.groupBy("shard", "_file").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        first = files.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+        return rows.join(F.broadcast(first), "_file").select("shard", "size", "row", (F.col("first") + F.col("_at")).alias("slot"))  # a row for each file: at most about FILES
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    """Rows into folders by shard; each task keeps its files open, so it need not sort."""
+    conf = rows.sparkSession.conf
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    was = conf.get(name, None)
+    conf.set(name, "256")
+    try:
+        rows.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(name) if was is None else conf.set(name, was)
+
+
+def write_layout(docs: DataFrame, path: str, shards: int) -> Layout:
+    """A first layout: the bucket of a row's text gives the shard. No shuffle; at most WRITERS tasks write to each shard."""
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]
     rows = docs.toDF(*plain)
-    text, doc_id = F.col(plain[names.index("text")]), F.col(plain[names.index("doc_id")])
+    text = F.col(plain[names.index("text")])
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
-    buckets = old_shards * PER_SHARD
-
-    def sizes(parts: dict[int, int], only: list[int] | None = None) -> dict[Block, tuple[int, int]]:
-        bucket, part = _block(text, doc_id, buckets, parts)
-        t = rows.select(bucket.alias("bucket"), part.alias("part"), size.alias("size"))
-        if only is not None:
-            t = t.where(F.col("bucket").isin(only))
-        return {(r["bucket"], r["part"]): (r["bytes"], r["n"]) for r in t.groupBy("bucket", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-
-    blocks = sizes({})
-    share = max(1, sum(b for b, _ in blocks.values()) // new_shards)
-    parts = {bucket: -(-PARTS * b // share) for (bucket, _), (b, _) in blocks.items() if SPLIT * b > share}
-    if parts:  # fewer than new_shards * SPLIT buckets can be over the limit
-        blocks = {k: v for k, v in blocks.items() if k[0] not in parts} | sizes(parts, list(parts))
-    made = plan(blocks, old_shards, new_shards)
-    changed = {s for k, (s, _, _) in made.items() if s != k[0] % old_shards} | {k[0] % old_shards for k, (s, _, _) in made.items() if s != k[0] % old_shards}
-    listed = spark.createDataFrame([(*k, *x) for k, x in made.items()], "bucket int, part int, shard int, first long, file int")
-    bucket, part = _block(text, doc_id, buckets, parts)
-    placed = rows.withColumn("bucket", bucket).withColumn("part", part).join(F.broadcast(listed), ["bucket", "part"])  # at most buckets + splits rows
-    if old_path is not None:
-        placed = placed.where(F.col("shard").isin(sorted(changed)))
-    inside = Window.partitionBy("shard", "file", "bucket", "part").orderBy(doc_id, F.xxhash64(text))
-    out = placed.repartition("shard", "file").withColumn("slot", F.col("first") + F.row_number().over(inside) - 1)
-    named = out.select("shard", F.col("slot").alias("_slot"), F.struct(*(F.col(p).alias(n) for p, n in zip(plain, names, strict=True))).alias("row"))
-    named.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return spark.read.schema(named.schema).parquet(path), changed
-
-
-def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, from the files written."""
-    files, _ = reshard(docs, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    row = F.struct(*(F.col(p).alias(n) for p, n in zip(plain, names, strict=True)))
+    named = rows.select(F.xxhash64(text).alias("h"), size.alias("size"), row.alias("row")).withColumn("shard", _bucket(F.col("h")) % shards)
+    _write(named.coalesce(WRITERS), path)
+    return Layout({path: list(range(shards))}, named.schema.toDDL())
+
+
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+
+def _part(hot: dict[int, tuple[int, int]], cold: dict[int, int]) -> Column:
+    """The part of a row within its bucket. hot: hash of a split text -> its number and parts; cold: bucket -> parts."""
+    part = F.lit(0)
+    if cold:
+        n = F.element_at(F.create_map(*(F.lit(x) for pair in cold.items() for x in pair)), _bucket(F.col("h")))
+        part = F.coalesce(F.pmod(F.xxhash64("h", F.lit("cold")), n.cast("long")).cast("int"), part)
+    if hot:
+        of = F.element_at(F.create_map(*(x for h, (i, n) in hot.items() for x in (F.lit(h).cast("long"), F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"))))), F.col("h"))
+        row = F.pmod(F.xxhash64("_file", "_at"), of["n"].cast("long")).cast("int")  # equal rows too lie in different places
+        part = F.when(of.isNotNull(), (of["i"] + 1) * HOT + row).otherwise(part)
+    return part
+
+
+def _blocks(rows: DataFrame, new_shards: int) -> tuple[dict[Block, dict[int, int]], dict, dict]:
+    """Bytes of every block in every old shard; and what splits large buckets."""
+
+    def sizes(part: Column, of: DataFrame) -> dict[Block, dict[int, int]]:
+        out: dict[Block, dict[int, int]] = {}
+        for r in of.groupBy(_bucket(F.col("h")).alias("bucket"), part.alias("part"), "shard").agg(F.sum("size").alias("bytes")).toLocalIterator():
+            out.setdefault((r["bucket"], r["part"]), {})[r["shard"]] = r["bytes"]
+        return out
+
+    blocks = sizes(F.lit(0), rows)
+    share = max(1, sum(b for own in blocks.values() for b in own.values()) // new_shards)
+    large = {bucket: sum(own.values()) for (bucket, _), own in blocks.items() if SPLIT * sum(own.values()) > share}  # fewer than SPLIT * new_shards
+    if not large:
+        return blocks, {}, {}
+    inside = rows.where(_bucket(F.col("h")).isin(list(large)))
+    found = inside.groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * SPLIT > share).orderBy("h").collect()  # as few
+    hot = {r["h"]: (i, -(-PARTS * r["bytes"] // share)) for i, r in enumerate(found)}
+    rest = dict(large)
+    for r in found:
+        rest[r["h"] % BUCKETS] -= r["bytes"]
+    cold = {bucket: -(-PARTS * b // share) for bucket, b in rest.items() if SPLIT * b > share}
+    again = sizes(_part(hot, cold), inside)
+    return {k: v for k, v in blocks.items() if k[0] not in large} | again, hot, cold
+
+
+def reshard(spark: SparkSession, old: Layout, path: str, new_shards: int = 40, weights: list[int] | None = None) -> tuple[Layout, set[int]]:
+    """Write the shards that change to `path`; the layout from then on, and the shards written."""
+    rows, weights = old.rows(spark), weights or [1] * new_shards
+    blocks, hot, cold = _blocks(rows, len(weights))
+    where = plan(blocks, weights)
+    changed = {s for k, own in blocks.items() if set(own) != {where[k]} for s in (*own, where[k])}
+    total = sum(b for own in blocks.values() for b in own.values())
+    file_bytes, filled, files, listed = max(min(FILE_BYTES, max(8 << 20, total // 256)), -(-total // FILES)), {}, {}, []
+    for key in sorted(where):
+        shard = where[key]
+        if shard in changed:
+            at = filled.get(shard, 0)
+            listed.append((*key, shard, files.setdefault((shard, at // file_bytes), len(files))))
+            filled[shard] = at + sum(blocks[key].values())
+    table = spark.createDataFrame(listed, "bucket int, part int, to int, file int")  # a row for each block
+    placed = rows.withColumn("bucket", _bucket(F.col("h"))).withColumn("part", _part(hot, cold)).drop("shard", "_file", "_at").join(F.broadcast(table), ["bucket", "part"])
+    out = placed.repartitionById(max(1, len(files)), F.col("file")).select("h", "size", "row", F.col("to").alias("shard"))
+    _write(out, path)
+    kept = {root: [s for s in shards if s not in changed and s < len(weights)] for root, shards in old.roots.items()}
+    return Layout({r: s for r, s in kept.items() if s} | {path: sorted(changed)}, old.schema), changed
+
+
+def report(spark: SparkSession, docs: DataFrame, old_shards: int = 32, new_shards: int = 40) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, from the files written.
+
+    The table is laid out in `old_shards` shards first, as it has none.
+    """
+    at = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    layout, _ = reshard(spark, write_layout(docs, f"{at}-old", old_shards), f"{at}-new", new_shards)
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    return files.select(
+    return layout.numbered(spark).select(
         F.col("row.doc_id").alias("doc_id"),
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
+        "size",
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"),
         F.col("shard").cast("int").alias("shard"),
-        F.col("_slot").alias("slot"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

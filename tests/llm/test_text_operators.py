@@ -381,6 +381,60 @@ def test_equal_texts_stay_together_unless_they_fill_a_shard(spark):
     assert sum(len(s) > 1 for s in texts.values()) == 1
 
 
+def test_a_cold_text_in_the_bucket_of_a_hot_one_stays_together(spark):
+    hot = "hot text"
+    bucket = lambda texts: [(r.t, r.b) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", reshard._bucket(F.xxhash64("t")).alias("b")).collect()]
+    own = bucket([hot])[0][1]
+    cold = next(t for t, b in bucket([f"cold {i}" for i in range(200_000)]) if b == own)
+    docs = [(1, hot)] * 3_000 + [(i, hot) for i in range(3_000)] + [(i, cold) for i in range(30)] + [(i, f"text {i % 70} " * 20) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sizes, texts = check_shards(reshard.report(spark, df).collect(), docs)
+    assert len(texts[zlib.crc32(hot.encode())]) > 20
+    assert all(len(s) == 1 for t, s in texts.items() if t != zlib.crc32(hot.encode()))
+    assert max(sizes.values()) < 1.2 * min(sizes.values())
+
+
+def test_only_shards_that_change_are_written(spark, clashing, tmp_path):
+    """Four shards of a layout on disk, one of them far too large: the shards that have what they should keep their files."""
+    docs = [(i, f"text number {i} " * 4) for i in range(4_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    old = reshard.write_layout(df, f"file://{tmp_path}/old", 4)
+    sizes = {r["shard"]: r["n"] for r in old.rows(spark).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    weights = [sizes[0] - 20_000, sizes[1], sizes[2], sizes[3] + 20_000]
+    new, changed = reshard.reshard(spark, old, f"file://{tmp_path}/new", weights=weights)
+    assert changed == {0, 3}
+    assert {p.name for p in (tmp_path / "new").glob("shard=*")} == {"shard=0", "shard=3"}
+    rows = new.numbered(spark).select("row.doc_id", "row.text", "size", "shard", "slot").collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == docs
+    for shard in range(4):
+        own = sorted(r.slot for r in rows if r.shard == shard)
+        assert own == list(range(len(own)))
+        assert abs(sum(r["size"] for r in rows if r.shard == shard) - weights[shard]) < 200
+    before = {(r.row.doc_id, r.slot) for r in old.numbered(spark).where("shard IN (1, 2)").collect()}
+    assert before == {(r.doc_id, r.slot) for r in rows if r.shard in (1, 2)}
+    fewer, _ = reshard.reshard(spark, new, f"file://{tmp_path}/fewer", 2)
+    assert sorted(r.row.doc_id for r in fewer.numbered(spark).collect()) == [d for d, _ in docs]
+    assert {r.shard for r in fewer.numbered(spark).select("shard").distinct().collect()} == {0, 1}
+    odd = reshard.write_layout(clashing, f"file://{tmp_path}/odd", 3)
+    assert by_text(tuple(r.row) for r in odd.numbered(spark).collect()) == by_text(map(tuple, clashing.collect()))
+
+
+def test_scattered_equal_texts_meet(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i % 40}") for i in range(2_000)], "doc_id long, text string")
+    old = reshard.write_layout(df, f"file://{tmp_path}/old", 3)
+    moved = old.rows(spark).select("h", "size", "row", (F.col("row.doc_id") % 3).cast("int").alias("shard"))
+    reshard._write(moved, f"file://{tmp_path}/mixed")
+    new, _ = reshard.reshard(spark, reshard.Layout({f"file://{tmp_path}/mixed": [0, 1, 2]}, old.schema), f"file://{tmp_path}/new", 3)
+    rows = new.numbered(spark).collect()
+    assert len(rows) == 2_000 and len({(r.row.text, r.shard) for r in rows}) == 40
+
+
+def test_flow_prefers_the_same_rack():
+    assert reshard.transfers([9, 1, 1, 1, 1], [5, 1, 2, 1, 4]) == {(0, 2): 1, (0, 4): 3}
+    assert reshard.transfers([6, 0, 0, 0], [2, 2, 0, 2], lambda i: i // 2) == {(0, 1): 2, (0, 3): 2}
+    assert reshard.transfers([4, 4, 0, 0], [2, 2, 2, 2], lambda i: i % 2) == {(0, 2): 2, (1, 3): 2}
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = np.random.default_rng(2)
     for _ in range(30):
