@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        now = written(_small_star(_large_star(now)), "edges")
+        last, now = now, written(_small_star(_large_star(now)), "edges")
+        remove(last)
         was, state = state, _state(now)
         if state == was:
             break

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
 from . import ann, decontaminate, licenses, lm, packing, pii, reshard, simhash, tokenstore, toxicity
-from .common import shared_dir, table, tokenizer_path
+from .common import scratch, table, tokenizer_path
 
 
 def op1_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +19,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-store")
     tokenstore.write_store(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end=2, vocabulary=49_408)
     return tokenstore.report(spark, path)
 

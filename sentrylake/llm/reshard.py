@@ -23,14 +23,13 @@ from __future__ import annotations
 
 import bisect
 import heapq
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import scratch
 
 OVERHEAD = 16
 BUCKETS = 20_480
@@ -288,8 +287,7 @@ def report(spark: SparkSession, docs: DataFrame, old_shards: int = 32, new_shard
 
     The table is laid out in `old_shards` shards first, as it has none.
     """
-    at = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    layout, _ = reshard(spark, write_layout(docs, f"{at}-old", old_shards), f"{at}-new", new_shards)
+    layout, _ = reshard(spark, write_layout(docs, scratch(spark, "old-shards"), old_shards), scratch(spark, "shards"), new_shards)
     text = F.coalesce(F.col("row.text"), F.lit(""))
     return layout.numbered(spark).select(
         F.col("row.doc_id").alias("doc_id"),
