@@ -200,11 +200,28 @@ def test_pii_cases(spark, clashing, no_docs):
     got = pii.report(df).orderBy("doc_id").collect()
     assert [tuple(r)[:6] for r in got] == [pii_row(i, t) for i, t in enumerate(PII_CASES)]
     assert "iban:5:32" in got[4].spans and got[4].n_iban == 1
-    assert got[5].spans == "ssn:7:18"
-    assert [tuple(r)[:6] for r in pii.report(clashing).collect() if r.doc_id == 8] == [pii_row(*ODD[-1][:2])]
+    assert got[5].spans == "ssn:7:18,ssn:27:38"  # a context word within 40 code points of both
+    assert by_text(tuple(r)[:6] for r in pii.report(clashing).collect()) == by_text(pii_row(*x[:2]) for x in ODD)
     assert pii.report(no_docs).count() == 0
 
 
+def test_scores_by_checksum_and_context_on_both_sides(spark):
+    texts = ["123-45-6789 is my social number", "123-45-6789" + " " * 41 + "social", "social" + " " * 41 + "123-45-6789", "a@b.de 4111 1111 1111 1111 x@y.org credit", "123-45-6789 1 2 123-45-6788 3 ssn", "10.0.0.1 10.0.0.2 host"]
+    got = [(r.spans, r.scores) for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [("ssn:0:11", "0.6"), ("", ""), ("", ""), ("email:0:6,card:7:26,email:27:34", "0.8,1.0,0.8"), ("ssn:0:11,ssn:16:27", "0.6,0.6"), ("ip:0:8,ip:9:17", "0.9,0.9")]
+
+
+def test_texts_with_very_many_spans(spark):
+    text = " ".join(f"é {i} u{i}@ex.com 10.0.{i % 300}.1" for i in range(5_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert tuple(pii.report(df).first())[:6] == pii_row(1, text)
+    out, at = [], 0
+    for start, rank, end, kind in slow_spans(text):
+        out += [text[at:start], f"[{kind.upper()}]"]
+        at = end
+    assert pii.redact(df).first().text == "".join(out) + text[at:]
+
+
 def test_redaction(spark, clashing, no_docs):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(PII_CASES)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in pii.redact(df).collect()}
