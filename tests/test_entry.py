@@ -48,5 +48,14 @@ def test_entry_without_the_llm_parts(tmp_path, gone):
             shutil.rmtree(tmp_path / p)
         else:
             (tmp_path / p).unlink(missing_ok=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'alerts_all' in q; assert not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    there = bool((ROOT / "sentrylake/llm").is_dir()) and "sentrylake/llm" not in gone
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "import __spark_entry__ as e\n"
+        "q = e.queries()\n"
+        f"assert any(n.startswith('op') for n in q) == {there} and 'pipeline' not in q\n"
+        "assert set(e.oracle_sql()) <= set(q)\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert e.entry(spark).count() > 0 and q['space_saving_evicting'](spark, '/root/testdata/sf0.001').count() > 0\n"
+    )
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=180, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
