@@ -218,6 +218,7 @@ def pack(docs: DataFrame, path: str, end: int = 2, words: bool = False, size: in
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     cut = written(pieces(docs, path, end, words, size), "pieces")
+    # a row for each partition and length: it grows with the table, so it is joined by a shuffle of the short piece rows
     counts = written(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     plan = spark.sparkContext.broadcast(Plan(totals, size).table()[:3])
@@ -231,5 +232,5 @@ def pack(docs: DataFrame, path: str, end: int = 2, words: bool = False, size: in
             run = np.searchsorted(key, want, "right") - 1
             yield pa.record_batch([*batch.columns[:5], pa.array(seq[run] + (want - key[run])), pa.array(at[run])], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    named = cut.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
+    named = cut.join(bases.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
     return named.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
