@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import ann, decontaminate, licenses, lm, packing, pii, reshard, simhash, tokenstore, toxicity
 from .common import scratch, table, tokenizer_path
 
@@ -52,11 +50,5 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), end=50_256, vocabulary=50_257)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_hilbert_neighbours, op2_pii, op3_token_store, op4_best_fit_packing, op5_flow_resharding, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity, op9_license_scan, op10_attention_lm, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_neighbours, op2_pii, op3_token_store, op4_best_fit_packing, op5_flow_resharding, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_toxicity, op9_license_scan, op10_attention_lm)}
 ORACLE: dict[str, str] = {"op9_license_scan": licenses.oracle_sql()}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
