@@ -7,8 +7,9 @@ window's length always shares a fingerprint: nothing that long can be missed. Wh
 the benchmark's set, the words of the window are compared as they are, and all confirmed windows together make
 the hit spans (each extends as far as consecutive windows go on matching).
 
-The benchmark's windows are dealt into blocks by hash, each below `block_bytes`; a block is the only thing that is
-broadcast, and its size is what the check bounds. More blocks mean more passes over the documents, not more memory.
+The benchmark's windows are dealt into blocks by hash, each of about `block_bytes`; a window that very many items share
+is several rows, by item. A worker holds one block at a time. With several blocks it takes documents in groups of
+GROUP_BYTES and opens the blocks one after the other for each group, so the documents are read once and written never.
 
 Defined results: null or empty text has no words and no hits; a benchmark row with a null item_id or no words is
 ignored; repeated rows give repeated results; an empty benchmark marks nothing.
@@ -29,6 +30,8 @@ from .common import written
 
 WINDOW, K = 10, 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+MANY = 10_000  # items of a row of windows
+GROUP_BYTES = 64 << 20
 _MEMO = 300_000
 
 #: A-Z to lower case; 00-2F, 3A-60 and 7B-7F separate words; bytes from 80 on belong to words.
@@ -80,7 +83,7 @@ class Index:
         memo, by_length = WordHashes(), {}
         self.items = {}
         for length, window, items in rows:
-            self.items[length, window] = tuple(items)
+            self.items[length, window] = self.items.get((length, window), ()) + tuple(items)
             by_length.setdefault(length, set()).add(int(window_minima(memo.of(window.split(b" ")), length)[0]))
         self.prints = {n: np.array(sorted(x), np.uint64) for n, x in by_length.items()}
 
@@ -112,7 +115,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(length, window, items): every distinct window and the items that have it."""
+    """(length, window, items): every distinct window and the items that have it, about MANY of them in a row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,26 +130,55 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
                     yield pa.record_batch([pa.array([length] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array([item] * len(part), pa.int64())], ["length", "window", "item"])
 
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("body"))
-    return rows.mapInArrow(cut, "length int, window binary, item long").groupBy("length", "window").agg(F.collect_set("item").alias("items"))
+    each = written(rows.mapInArrow(cut, "length int, window binary, item long").distinct(), "item-windows")
+    shared = each.groupBy("length", "window").agg(F.count("*").alias("n")).where(F.col("n") > MANY)
+    dealt = each.join(shared, ["length", "window"], "left").withColumn("deal", F.pmod(F.xxhash64("item"), F.coalesce(F.floor(F.col("n") / MANY), F.lit(0)) + 1))
+    return dealt.groupBy("length", "window", "deal").agg(F.collect_list("item").alias("items")).drop("deal")
 
 
-def _scanner(index):
-    """Adds one block's hits to `spans` and `items` of each row."""
+def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def _opened(blocks: list) -> Iterator[Index]:
+    """The blocks one after the other; of several only one is held."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            del b._value  # the worker's copy; it is read again from the worker's disk
+
+
+def _scanner(blocks: list, group_bytes: int):
+    """Adds the hits to `spans`, `items` and `words` of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, memo = index.value, WordHashes()
-        for batch in batches:
-            spans, items, counts = [], [], []
-            for text, had, own in zip(batch["_body"], batch["_spans"].to_pylist(), batch["_items"].to_pylist(), strict=True):
-                words = fold_words(text.as_py())
-                found, owners = block.find(words, memo.of(words))
-                merged = _merge([(had[i], had[i + 1]) for i in range(0, len(had), 2)] + found)
-                spans.append([x for pair in merged for x in pair])
-                items.append(sorted(owners.union(own)))
-                counts.append(len(words))
-            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-            cols |= {"_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array(items, pa.list_(pa.int64())), "_words": pa.array(counts, pa.int64())}
-            yield pa.record_batch(list(cols.values()), list(cols))
+        memo = WordHashes()
+        for group in _grouped(batches, group_bytes if len(blocks) > 1 else 0):
+            spans: list[list] = [[[] for _ in range(b.num_rows)] for b in group]
+            items: list[list] = [[set() for _ in range(b.num_rows)] for b in group]
+            counts = [[0] * b.num_rows for b in group]
+            for block in _opened(blocks):
+                for g, batch in enumerate(group):
+                    for i, text in enumerate(batch["_body"]):
+                        words = fold_words(text.as_py())
+                        found, owners = block.find(words, memo.of(words))
+                        if found:
+                            spans[g][i] = _merge(spans[g][i] + found)
+                            items[g][i] |= owners
+                        counts[g][i] = len(words)
+            for batch, own_spans, own_items, own_counts in zip(group, spans, items, counts, strict=True):
+                cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+                del cols["_body"]
+                cols |= {"_spans": pa.array([[x for pair in s for x in pair] for s in own_spans], pa.list_(pa.int64())), "_items": pa.array(list(map(sorted, own_items)), pa.list_(pa.int64())), "_words": pa.array(own_counts, pa.int64())}
+                yield pa.record_batch(list(cols.values()), list(cols))
 
     return scan
 
@@ -158,15 +190,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
     # a window costs its words, the items that share it and the index entry
     total = windows.agg(F.sum(F.length("window") + 8 * F.size("items") + 150)).first()[0] or 0
     blocks = int(total // block_bytes) + 1
-    empty = F.array().cast("array<bigint>")
-    out = docs.select(*keep, F.col(text_col).cast("binary").alias("_body"), empty.alias("_spans"), empty.alias("_items"), F.lit(0).cast("long").alias("_words"))
+    sent = []
     for b in range(blocks):
-        block = windows.where(F.pmod(F.xxhash64("length", "window"), F.lit(blocks)) == b)
+        block = windows.where(F.pmod(F.xxhash64("length", "window", F.col("items")[0]), F.lit(blocks)) == b)
         rows = [(r.length, bytes(r.window), list(r.items_)) for r in block.withColumnRenamed("items", "items_").toLocalIterator()]
-        if b:
-            out = written(out, "scanned")
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(Index(rows))), out.schema)
-    return out.drop("_body")
+        sent.append(spark.sparkContext.broadcast(Index(rows)))
+        del rows
+    empty = F.array().cast("array<bigint>")
+    out = docs.select(*keep, F.col(text_col).cast("binary").alias("_body"))
+    schema = out.drop("_body").withColumns({"_spans": empty, "_items": empty, "_words": F.lit(0).cast("long")}).schema
+    return out.mapInArrow(_scanner(sent, GROUP_BYTES), schema)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -147,9 +147,11 @@ def test_op7_against_brute_force(spark):
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 300])
 def test_decontamination_odd_rows(spark, clashing, no_docs, block_bytes, monkeypatch):
-    items = [(1, "ONE, two three!"), (2, None), (3, ""), (4, "x one two three four five six seven eight nine ten eleven y"), (5, "Été"), (5, "eleven"), (None, "one")]
+    items = [(1, "ONE, two three!"), (2, None), (3, ""), (4, "x one two three four five six seven eight nine ten eleven y"), (5, "Été"), (5, "eleven"), (None, "one")] + [(i, "one two three") for i in range(10, 30)]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("window", F.lit(1))
     monkeypatch.setattr(decontaminate.find_contamination, "__defaults__", ("text", block_bytes))
+    monkeypatch.setattr(decontaminate, "MANY", 1 if block_bytes == 300 else 10_000)
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 400)
     got = decontaminate.contamination_report(clashing, bench).collect()
     want = [(x[0], *slow_hits(x[1], items)) for x in ODD]
     assert by_text(map(tuple, got)) == by_text(want)
