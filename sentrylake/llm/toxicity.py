@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_BYTES = 8_000, 262_144
+SAMPLE, SAMPLE_BYTES = 8_000, 65_536
 SEGMENT, STEPS = 24, 120
 MIN_DOCS, MIN_SHARE, MIN_SIGNAL = 4, 0.01, 4.5  # of toxic documents; MIN_SIGNAL grows with the number of features tried
 THRESHOLD = 0.7
@@ -275,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1)
     """Fit on labelled documents outside the held-out fold."""
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(remainder(F.col("doc_id"), fold) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    first = marks.orderBy(*order).limit(2 * SAMPLE)  # bounded, so it may be broadcast
+    first = marks.orderBy(*order).limit(SAMPLE + SAMPLE // 4)  # bounded, so it may be broadcast; some may have no text
     body, quarter = F.col("text").cast("binary"), F.lit(SAMPLE_BYTES // 4)
     stretches = [F.substring(body, ((F.octet_length("text") - quarter) * i / 3 + 1).cast("int"), quarter) for i in range(4)]
     part = F.when(F.octet_length("text") <= SAMPLE_BYTES, body).otherwise(F.concat(*(x for s in stretches for x in (s, F.lit(b" ")))))

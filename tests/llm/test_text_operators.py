@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -475,22 +476,36 @@ def test_license_cases(spark, clashing, no_docs):
         "Copyright (c) 2020 Someone\n\nReleased under the  *MIT* license!": ("MIT", "MIT"),
         "story\n  licensed under CC BY-NC 4.0\nRELEASED UNDER THE MIT LICENSE.\nmore": (None, "CC-BY-NC-4.0,MIT"),
         "Released under the MIT License and more": (None, ""),
+        "# Copyright (c) 2020 Jane Doe\n# Licensed under the MIT License.": ("MIT", "MIT"),
+        " * Copyright Jane Doe\n *\n * SPDX-License-Identifier: GPL-3.0-or-later\n */": ("GPL-3.0", "GPL-3.0"),
+        "import x\n\n# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU General Public\n# License as published by the Free Software Foundation, either\n# version 3 of the License, or (at your option) any later\n# version.\n#\n# more": (None, "GPL-3.0"),
+        "// The MIT one\n// copyright notice and this\nLicensed under the MIT License.": (None, "MIT"),
         "": (None, ""),
         None: (None, ""),
     }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = licenses.scan(df).orderBy("doc_id").collect()
-    assert [(r.license_id, r.line_licenses) for r in got] == list(cases.values())
-    assert licenses.scan(clashing).count() == len(ODD)
+    assert [(r.license_id, r.part_licenses) for r in got] == list(cases.values())
+    rows = licenses.scan(clashing).collect()
+    assert by_text(map(tuple, rows)) == by_text((x[0], hashlib.sha256(licenses.canonical_py(x[1] or "").encode()).hexdigest(), None, "") for x in ODD)
     assert licenses.scan(no_docs).count() == 0
     assert len(CLASHES) > 0
 
 
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no licence files on this machine")
+def test_entire_texts_are_known(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [Path("/usr/share/common-licenses", f).read_text() for f in files]
+    changed = [" * " + t.replace("\n", "\n * ").replace("license", "Licence") for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts + changed)), "doc_id long, text string")
+    assert [r.license_id for r in licenses.scan(df).orderBy("doc_id").collect()] == [*files.values()] * 2
+
+
 def test_op9_equals_sql(spark):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
     want = con.execute(queries.ORACLE["op9_license_scan"]).fetchall()
-    got = queries.op9_license_scan(spark, DATA).select("doc_id", "canonical_sha256", "license_id", "line_licenses").collect()
+    got = queries.op9_license_scan(spark, DATA).select("doc_id", "canonical_sha256", "license_id", "part_licenses").collect()
     assert sorted(map(tuple, got)) == sorted(want)
