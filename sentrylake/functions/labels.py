@@ -14,7 +14,7 @@ def masked(address: Column) -> Column:
     tail = F.length(F.substring_index(address, ".", -1))
     v6 = F.when(colons >= 3, F.concat(F.substring_index(address, ":", 3), F.lit("::x"))).otherwise(address)
     v4 = F.when(F.contains(address, F.lit(".")), F.concat(F.substring(address, F.lit(1), F.length(address) - tail), F.lit("x"))).otherwise(address)
-    return F.when(address.isNull() | (F.trim(address) == ""), UNKNOWN).when(colons > 0, v6).otherwise(v4)
+    return F.when(address.isNull() | address.rlike(r"^\s*$"), UNKNOWN).when(colons > 0, v6).otherwise(v4)
 
 
 def synthetic(key: Column) -> Column:
@@ -24,7 +24,7 @@ def synthetic(key: Column) -> Column:
 
 
 def readable_bytes(n: Column) -> Column:
-    """A count of bytes in B, KB or MB; a decimal for broken KB below 100 and for broken MB."""
+    """A count of bytes in B, KB or MB; a decimal for broken KB below 100 and for broken MB (fixed values)."""
     kb, mb = n / 1024, n / (1 << 20)
     whole, broken = (lambda x: F.call_function("format_number", x, F.lit("0"))), (lambda x: F.call_function("format_number", x, F.lit("0.0")))
     in_kb = F.when((kb < 100) & (kb != F.floor(kb)), broken(kb)).otherwise(whole(kb))
@@ -37,16 +37,10 @@ STEPS = (1, 1.2, 1.6, 2, 2.4, 3.2, 4, 5, 6, 8, 10)
 
 
 def chart_ceiling(n: Column) -> Column:
-    """The upper end of a chart for a largest value of n bytes: the next step, in bytes; 1,024 for nothing."""
+    """The upper end of a chart for a largest value of n bytes: the next step, in bytes; 1,024 (a fixed value) for nothing."""
     kb = n / 1024
     power = F.pow(F.lit(10.0), F.floor(F.log10(kb)))
     out = F.when(n <= 0, F.lit(1024.0))
     for step in STEPS:
         out = out.when(kb <= F.lit(float(step)) * power, F.lit(float(step)) * power * 1024)
     return out.otherwise(F.lit(10.0) * power * 1024)
-
-
-def ratio_text(sketch: Column, exact: Column) -> Column:
-    """How a sketch's memory compares, in words."""
-    r = sketch / exact
-    return F.when((sketch == 0) | (exact == 0), "no data in this window yet").when(r < 1, F.concat(F.lit("takes "), F.call_function("format_number", r * 100, F.lit("0")), F.lit(" % of the exact"))).otherwise(F.concat(F.lit("takes "), F.call_function("format_number", r, F.lit("0.0")), F.lit(" times the exact")))

@@ -46,21 +46,46 @@ def estimates(df: DataFrame, within: list[str], key: str, width: int, depth: int
 
 
 def incremental_alerts(logins: DataFrame, threshold: int, width: int, depth: int, seed: int, slice_size: int = 1 << 20) -> DataFrame:
-    """(window_id, source) of sources whose estimate reaches the threshold at an event of their own.
+    """(window_id, source) of sources whose estimate reaches the threshold at an event of their own."""
+    return alerts_by_width(logins, threshold, [width], depth, seed, slice_size).select("window_id", "source")
 
-    Cells are running counts in event order: collisions that come after a source's last event raise no alert. A cell's
-    events are counted in slices of `slice_size` sequence numbers, each after the sum of the slices before it, so that
-    a hot cell isn't one task's.
+
+def alerts_by_width(logins: DataFrame, threshold: int, widths: list[int], depth: int, seed: int, slice_size: int = 1 << 20) -> DataFrame:
+    """(width, window_id, source): the incremental alerts of a sketch of each width, all in one plan.
+
+    Cells are running counts in event order: collisions that come after a source's last event raise no alert. An
+    estimate lies between the source's own count and its estimate at the window's close. So counts decide most
+    sources, and only the cells of the others are counted event by event. A cell's events are counted in slices of
+    `slice_size` sequence numbers, each after the sum of the slices before it, so that a hot cell isn't one task's.
     """
-    spread = with_cells(logins.select("window_id", "source", "seq"), "source", width, depth, seed).withColumn("_s", F.expr(f"seq div {int(slice_size)}L"))
-    cell = ["window_id", "r", "col"]
-    sums = spread.groupBy(*cell, "_s").agg(F.count("*").alias("_c"))
+    for w in widths:
+        _check(w, depth)
+    each = F.explode(F.array(*(F.lit(w).cast("long") for w in widths)))
+    per_key = logins.groupBy("window_id", "source").agg(F.count("*").alias("n"))
+    sure = per_key.where(F.col("n") >= threshold).select(each.alias("width"), "window_id", "source")
+    cell = ["width", "window_id", "r", "col"]
+
+    def spread(df: DataFrame) -> DataFrame:
+        a, b = seeds(seed)
+        hashed = df.withColumn("_h1", fmix32(F.col("source"), a)).withColumn("_h2", fmix32(F.col("source"), b).bitwiseOR(F.lit(1)))
+        rows = hashed.withColumn("width", each).withColumn("r", F.explode(F.array(*(F.lit(i) for i in range(depth)))))
+        return rows.withColumn("col", (F.col("_h1") + F.col("r") * F.col("_h2")).bitwiseAND(F.lit(0x7FFFFFFF)) % F.col("width")).drop("_h1", "_h2")
+
+    keys = spread(per_key)
+    totals = keys.groupBy(*cell).agg(F.sum("n").alias("_all"))
+    same = ["width", "window_id", "source"]
+    close = keys.join(totals, cell).groupBy(*same).agg(F.first("n").alias("n"), F.min("_all").alias("_close"))
+    open_ = close.where((F.col("n") < threshold) & (F.col("_close") >= threshold)).select(*same)
+    asked = spread(open_.select(F.col("width").alias("_w"), "window_id", "source")).where("width = _w").select(*cell, "source")
+    events = spread(logins.select("window_id", "source", "seq")).join(asked.select(*cell).distinct(), cell, "left_semi").withColumn("_s", F.expr(f"seq div {int(slice_size)}L"))
+    sums = events.groupBy(*cell, "_s").agg(F.count("*").alias("_c"))
     earlier = Window.partitionBy(*cell).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*cell, "_s", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*cell, "_s").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = spread.withColumn("_n", F.count("*").over(inside)).join(base, [*cell, "_s"])
-    at_event = running.groupBy("window_id", "source", "seq").agg(F.min(F.col("_n") + F.col("_base")).alias("estimate"))
-    return at_event.where(F.col("estimate") >= threshold).select("window_id", "source").distinct()
+    running = events.withColumn("_n", F.count("*").over(inside)).join(base, [*cell, "_s"])
+    own = running.join(open_.withColumnRenamed("source", "_o").withColumnsRenamed({"width": "_w", "window_id": "_i"}), (F.col("width") == F.col("_w")) & (F.col("window_id") == F.col("_i")) & F.col("source").eqNullSafe(F.col("_o")), "left_semi")
+    at_event = own.groupBy(*same, "seq").agg(F.min(F.col("_n") + F.col("_base")).alias("estimate"))
+    return sure.unionByName(at_event.where(F.col("estimate") >= threshold).select(*same).distinct())
 
 
 def close_alerts(logins: DataFrame, threshold: int, width: int, depth: int, seed: int) -> DataFrame:

@@ -58,20 +58,15 @@ def side_by_side(exact: DataFrame, sketch: DataFrame) -> DataFrame:
     return a.join(b, same, "full_outer").select(F.coalesce(a["window_id"], b["window_id"]).alias("window_id"), F.coalesce(a["source"], b["source"]).alias("source"), "exact_rank", "exact_n", "sketch_rank", "sketch_n")
 
 
-def _widths(windowed: DataFrame, threshold: int, widths: list[int], depth: int, seed: int) -> DataFrame:
-    """(width, source, window_id) alerts of a Count-Min sketch of every width, in one job."""
-    own = logins(windowed)
-    out = None
-    for w in widths:
-        one = cms.incremental_alerts(own, threshold, w, depth, seed).select(F.lit(w).cast("long").alias("width"), "window_id", "source")
-        out = one if out is None else out.unionByName(one)
-    return out
+#: The widths that a search goes through.
+WIDTHS = [64 << i for i in range(17)]
 
 
-def false_rates(windowed: DataFrame, threshold: int, widths: list[int], depth: int = 4, seed: int = 42) -> DataFrame:
+def false_rates(windowed: DataFrame, threshold: int, widths: list[int] | None = None, depth: int = 4, seed: int = 42) -> DataFrame:
     """(width, exact_alerts, extra, lost, false_rate) for each width; a sketch that loses an alert is an error in the data or here."""
+    widths = widths or WIDTHS
     exact = brute_force(windowed, threshold).select("window_id", "source", F.lit(1).alias("_e"))
-    alerts = _widths(windowed, threshold, widths, depth, seed)
+    alerts = cms.alerts_by_width(logins(windowed), threshold, widths, depth, seed)
     every = exact.select("window_id", "source", "_e").withColumn("width", F.explode(F.array(*(F.lit(w).cast("long") for w in widths))))
     same = (every["width"] == alerts["width"]) & (every["window_id"] == alerts["window_id"]) & every["source"].eqNullSafe(alerts["source"])
     both = every.join(alerts.withColumn("_s", F.lit(1)), same, "full_outer").select(F.coalesce(every["width"], alerts["width"]).alias("width"), "_e", "_s")
@@ -79,6 +74,15 @@ def false_rates(windowed: DataFrame, threshold: int, widths: list[int], depth: i
     return found.withColumn("false_rate", F.when(F.col("exact_alerts") > 0, F.col("extra") / F.col("exact_alerts")).otherwise(0.0))
 
 
-def min_width(windowed: DataFrame, threshold: int, target: float, widths: list[int], depth: int = 4, seed: int = 42) -> DataFrame:
-    """(width): the smallest width whose false-alarm rate is at most `target`; null if none is."""
-    return false_rates(windowed, threshold, widths, depth, seed).where(F.col("false_rate") <= target).agg(F.min("width").alias("width"))
+def min_width(windowed: DataFrame, threshold: int, target: float, depth: int = 4, seed: int = 42) -> DataFrame:
+    """(width): the smallest of WIDTHS whose false-alarm rate is at most `target`; null if none is. A width without any
+    alert, of a table without exact ones, has the rate 0."""
+    found = false_rates(windowed, threshold, WIDTHS, depth, seed)
+    every = windowed.sparkSession.range(len(WIDTHS)).select(F.call_function("shiftleft", F.lit(WIDTHS[0]).cast("long"), F.col("id").cast("int")).alias("width"))
+    return every.join(F.broadcast(found), "width", "left").where(F.coalesce("false_rate", F.lit(0.0)) <= target).agg(F.min("width").alias("width"))  # a row for each width
+
+
+def tracked(windowed: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(window_id, exact_keys, sketch_keys): how many sources the exact ranking and the sketch follow."""
+    a = windowed.select("window_id", "source").distinct().groupBy("window_id").agg(F.count("*").alias("exact_keys"))
+    return a.join(summaries.groupBy("window_id").agg(F.count("*").alias("sketch_keys")), "window_id")

@@ -59,6 +59,12 @@ def by_window(windowed: DataFrame, sizes) -> DataFrame:
     )
 
 
+def total(sums: DataFrame) -> DataFrame:
+    """(exact_bytes, sketch_bytes): the byte counts of all windows and structures added up."""
+    side = lambda name: F.sum(F.col(f"{name}_counter") + F.col(f"{name}_users") + F.col(f"{name}_ranking")).cast("long").alias(f"{name}_bytes")
+    return sums.agg(side("exact"), side("sketch"))
+
+
 def history(windowed: DataFrame, sizes, keep: int = 180) -> DataFrame:
     """The byte counts of the latest `keep` windows."""
     return by_window(windowed, sizes).orderBy(F.desc("window_id")).limit(keep)

@@ -2,12 +2,12 @@
 
 Order matters to this sketch, so a window's events of one partition are one stream. Keys are dealt to `parts`
 partitions, each with its own summary of `capacity` counters; summaries of disjoint keys merge by taking the largest.
-With one part the summary is the classic one. Of several smallest counters the one that has waited longest is evicted.
+With one part the summary is the classic one, with several the window is several tasks' work. The root of a binary heap is
+evicted, so of several smallest counters the heap's order decides.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,38 +18,53 @@ from .exact import top_k
 
 
 class Summary:
-    """Counters with a lazily cleaned heap of (count, time of last change, key)."""
+    """Counters in a binary heap by count: a counter sinks below its lighter child, the left one if both weigh the same."""
 
     def __init__(self, capacity: int):
         if capacity <= 0:
             raise ValueError("capacity must be positive")
-        self.capacity, self.clock = capacity, 0
+        self.capacity = capacity
+        self.heap: list = []  # keys
+        self.place: dict = {}
         self.counts: dict = {}
         self.errors: dict = {}
-        self.stamp: dict = {}
-        self.heap: list[tuple[int, int, object]] = []
-
-    def _set(self, key, count: int) -> None:
-        self.clock += 1
-        self.counts[key], self.stamp[key] = count, self.clock
-        heapq.heappush(self.heap, (count, self.clock, key))
-        if len(self.heap) > 4 * self.capacity + 64:
-            self.heap = [(c, self.stamp[k], k) for k, c in self.counts.items()]
-            heapq.heapify(self.heap)
-
-    def add(self, key, n: int = 1) -> None:
+
+    def _sink(self, at: int) -> None:
+        heap, counts, n = self.heap, self.counts, len(self.heap)
+        key = heap[at]
+        own = counts[key]
+        while (child := 2 * at + 1) < n:
+            if child + 1 < n and counts[heap[child + 1]] < counts[heap[child]]:
+                child += 1
+            if own <= counts[heap[child]]:
+                break
+            heap[at] = heap[child]
+            self.place[heap[at]] = at
+            at = child
+        heap[at] = key
+        self.place[key] = at
+
+    def add(self, key) -> None:
         if key in self.counts:
-            self._set(key, self.counts[key] + n)
+            self.counts[key] += 1
+            self._sink(self.place[key])
+            return
+        if len(self.heap) < self.capacity:
+            self.errors[key], self.counts[key] = 0, 1
+            at = len(self.heap)
+            self.heap.append(key)
+            while at and self.counts[self.heap[up := (at - 1) // 2]] > 1:  # a new counter rises above heavier ones
+                self.heap[at] = self.heap[up]
+                self.place[self.heap[at]] = at
+                at = up
+            self.heap[at] = key
+            self.place[key] = at
             return
-        least = 0
-        if len(self.counts) >= self.capacity:
-            while True:
-                least, stamp, old = heapq.heappop(self.heap)
-                if self.stamp.get(old) == stamp:
-                    break
-            del self.counts[old], self.errors[old], self.stamp[old]
-        self.errors[key] = least
-        self._set(key, least + n)
+        old = self.heap[0]
+        least = self.counts.pop(old)
+        del self.errors[old], self.place[old]
+        self.errors[key], self.counts[key], self.heap[0] = least, least + 1, key
+        self._sink(0)
 
     def rows(self) -> list[tuple]:
         """(key, count, error), largest first, ties by key."""

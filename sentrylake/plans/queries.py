@@ -14,14 +14,17 @@ from ..functions import hashing, labels
 from ..functions.windows import with_window
 from ..operators import cms, compare, dictionary, exact, hll, memory, partitioning, space_saving
 from ..schema import Sketches, Thresholds
-from ..sources import capture, zipf
+from ..session import scratch
+from ..sources import capture, replay, zipf
 from ..streaming import detect
-from . import engine, report
+from . import engine, report, sizing
 
 DAY = 86_400_000
 T = Thresholds(DAY, 6, 5, 5)
 S = Sketches(256, 4, 42, 8, 4_096)
 WIDTHS = [64, 128, 256, 512, 1024]
+SEARCHED = [64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072, 262144, 524288, 1048576, 2097152, 4194304]
+SPAN = "36500 days"  # a delay that spans any table, as its files may be in any order of time
 DEPTH, SEED = 4, 42
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +62,7 @@ def _mul(h: str, c: int) -> str:
 
 def _fmix(key: str, seed: int) -> list[str]:
     """Steps of the 32-bit finaliser for DuckDB, each over `h` of the one before."""
-    return [f"xor({key} & 4294967295, {seed})", "xor(h, h >> 16)", _mul("h", hashing.FMIX[0]), "xor(h, h >> 13)", _mul("h", hashing.FMIX[1]), "xor(h, h >> 16)"]
+    return [f"xor({key} & 4294967295, {seed})", "xor(h, h >> 16)", _mul("h", 2246822507), "xor(h, h >> 13)", _mul("h", 3266489909), "xor(h, h >> 16)"]
 
 
 def _stepped(source: str, steps: list[str], out: str, keep: str = "*") -> str:
@@ -70,7 +73,7 @@ def _stepped(source: str, steps: list[str], out: str, keep: str = "*") -> str:
     return f"SELECT * EXCLUDE (h), h AS {out} FROM ({sql})"
 
 
-_A, _B = hashing.seeds(SEED)
+_A, _B = 3124862261, 234785527  # written out, as are all constants of the SQL
 HASHED = f"hashed AS ({_stepped('(' + _stepped('(SELECT DISTINCT source FROM lg)', _fmix('source', _A), 'h1') + ')', _fmix('source', _B), 'h2')})"
 
 
@@ -85,11 +88,11 @@ def _incremental(width: int, name: str = "inc") -> str:
 
 U64 = "18446744073709551615"
 SPLIT = [
-    f"(CAST(actor AS UHUGEINT) + {hashing.GOLDEN64}) & {U64}::UHUGEINT",
+    f"(CAST(actor AS UHUGEINT) + 11400714819323198485) & {U64}::UHUGEINT",
     "xor(h, h >> 30)",
-    f"(h * {hashing.SPLITMIX[0]}::UHUGEINT) & {U64}::UHUGEINT",
+    f"(h * 13787848793156543929::UHUGEINT) & {U64}::UHUGEINT",
     "xor(h, h >> 27)",
-    f"(h * {hashing.SPLITMIX[1]}::UHUGEINT) & {U64}::UHUGEINT",
+    f"(h * 10723151780598845931::UHUGEINT) & {U64}::UHUGEINT",
     "xor(h, h >> 31)",
 ]
 
@@ -106,7 +109,7 @@ REGS = f"""pairs AS (SELECT DISTINCT window_id, source, actor FROM lg WHERE acto
 regs AS (SELECT window_id, source, CAST(h >> 56 AS BIGINT) AS idx, max(64 - CAST(floor(log2(CAST({_BITS} AS DOUBLE))) AS BIGINT)) AS rank
   FROM ({_split64('pairs')}) GROUP BY ALL)"""
 HLL = f"""hll AS (SELECT window_id, source, CAST(floor(CASE WHEN raw <= 640 AND empty > 0 THEN 256 * ln(256.0 / empty) ELSE raw END + 0.5) AS BIGINT) AS estimate
-  FROM (SELECT window_id, source, 256 - count(*) AS empty, CAST({hll.alpha(256)!r} AS DOUBLE) * 65536 / (sum(power(2.0, -rank)) + 256 - count(*)) AS raw FROM regs GROUP BY ALL))"""
+  FROM (SELECT window_id, source, 256 - count(*) AS empty, CAST(0.7182725932495458 AS DOUBLE) * 65536 / (sum(power(2.0, -rank)) + 256 - count(*)) AS raw FROM regs GROUP BY ALL))"""
 
 
 def _slots(n: str) -> str:
@@ -182,9 +185,11 @@ def dictionary_encode(spark, sf_dir):
     return dictionary.encode(capture.events(spark, sf_dir), "source")
 
 
-@_query(f"WITH {EV}, d AS (SELECT source, row_number() OVER (ORDER BY f, source) - 1 AS id FROM (SELECT source, min(seq) AS f FROM ev GROUP BY source)) SELECT i AS id, source FROM range(0, 2000) AS t(i) LEFT JOIN d ON d.id = i")
+@_query(f"WITH {EV}, d AS (SELECT source, row_number() OVER (ORDER BY f, source) - 1 AS id FROM (SELECT source, min(seq) AS f FROM ev GROUP BY source)) SELECT seq, id, source FROM ev LEFT JOIN d USING (source)")
 def dictionary_decode(spark, sf_dir):
-    return dictionary.decode(spark.range(2000), dictionary.encode(capture.events(spark, sf_dir), "source"), "source")
+    events = capture.events(spark, sf_dir)
+    ids = dictionary.encode(events, "source")
+    return dictionary.decode(events.join(ids, "source", "left").select("seq", "id"), ids, "source").select("seq", "id", "source")
 
 
 @_query(f"WITH {LOGINS}, {HASHED} SELECT source, h1, h2 FROM hashed")
@@ -222,22 +227,23 @@ def cms_alerts_close(spark, sf_dir):
     return cms.close_alerts(exact.logins(_windowed(spark, sf_dir)), T.brute_force, 64, DEPTH, SEED)
 
 
-def _all_widths() -> str:
-    return ", ".join(_incremental(w, f"i{w}") for w in WIDTHS) + ", allw AS (" + " UNION ALL ".join(f"SELECT {w}::BIGINT AS width, * FROM i{w}" for w in WIDTHS) + ")"
+def _all_widths(widths: list[int]) -> str:
+    return ", ".join(_incremental(w, f"i{w}") for w in widths) + ", allw AS (" + " UNION ALL ".join(f"SELECT {w}::BIGINT AS width, * FROM i{w}" for w in widths) + ")"
 
 
-RATES = f"""rates AS (SELECT width, count(b.source) + any_value(lost) AS exact_alerts, count(*) - count(b.source) AS extra, any_value(lost) AS lost
-  FROM allw LEFT JOIN bf b USING (window_id, source) JOIN (SELECT w.width, count(*) FILTER (a.source IS NULL) AS lost FROM (SELECT unnest({WIDTHS})::BIGINT AS width) w CROSS JOIN bf LEFT JOIN allw a ON a.width = w.width AND a.window_id = bf.window_id AND a.source = bf.source GROUP BY ALL) USING (width) GROUP BY width)"""
+def _rates(widths: list[int]) -> str:
+    return f"""found AS (SELECT w.width, bf.window_id, bf.source FROM (SELECT unnest({widths})::BIGINT AS width) w CROSS JOIN bf),
+rates AS (SELECT width, sum(e)::BIGINT AS exact_alerts, count(*) FILTER (e = 0) AS extra, count(*) FILTER (s = 0) AS lost FROM (SELECT width, window_id, source, max(e) AS e, max(s) AS s FROM (SELECT *, 1 AS e, 0 AS s FROM found UNION ALL SELECT *, 0, 1 FROM allw) GROUP BY ALL) GROUP BY width)"""
 
 
-@_query(f"WITH {LOGINS}, {HASHED}, {BF}, {_all_widths()}, {RATES} SELECT width, exact_alerts, extra, lost, CASE WHEN exact_alerts > 0 THEN extra / exact_alerts ELSE 0.0 END AS false_rate FROM rates")
+@_query(f"WITH {LOGINS}, {HASHED}, {BF}, {_all_widths(WIDTHS)}, {_rates(WIDTHS)} SELECT width, exact_alerts, extra, lost, CASE WHEN exact_alerts > 0 THEN extra / exact_alerts ELSE 0.0 END AS false_rate FROM rates")
 def cms_false_rate(spark, sf_dir):
     return compare.false_rates(_windowed(spark, sf_dir), T.brute_force, WIDTHS, DEPTH, SEED)
 
 
-@_query(f"WITH {LOGINS}, {HASHED}, {BF}, {_all_widths()}, {RATES} SELECT min(width) AS width FROM rates WHERE extra <= 0.25 * exact_alerts")
+@_query(f"WITH {LOGINS}, {HASHED}, {BF}, {_all_widths(SEARCHED)}, {_rates(SEARCHED)} SELECT min(width) AS width FROM rates WHERE extra <= 0.25 * exact_alerts")
 def cms_min_width(spark, sf_dir):
-    return compare.min_width(_windowed(spark, sf_dir), T.brute_force, 0.25, WIDTHS, DEPTH, SEED)
+    return compare.min_width(_windowed(spark, sf_dir), T.brute_force, 0.25, DEPTH, SEED)
 
 
 @_query(f"WITH {LOGINS}, {REGS} SELECT window_id, source, idx, CAST(rank AS INTEGER) AS rank FROM regs")
@@ -270,7 +276,7 @@ def partitioned_topk_merge(spark, sf_dir):
     return partitioning.merged_top_k(_windowed(spark, sf_dir), T.top_k, 8)
 
 
-_PART = f"(xor({_mul('source & 4294967295', hashing.GOLDEN32)}, ({_mul('source & 4294967295', hashing.GOLDEN32)}) >> 16) & 7)"
+_PART = f"(xor({_mul('source & 4294967295', 2654435769)}, ({_mul('source & 4294967295', 2654435769)}) >> 16) & 7)"
 
 
 @_query(f"WITH {EV} SELECT CAST({_PART} AS INTEGER) AS part, count(*) AS events FROM ev GROUP BY ALL")
@@ -288,7 +294,7 @@ def partition_load_share(spark, sf_dir):
 k AS (SELECT window_id, count(DISTINCT source) AS a, count(DISTINCT source) FILTER (action = 'LOGIN') AS l FROM ev GROUP BY ALL),
 s AS (SELECT window_id, count(*) AS d, CAST(sum(48 + 4 * {_slots('v')}) AS BIGINT) AS sets FROM (SELECT window_id, source, count(DISTINCT actor) AS v FROM lg WHERE actor IS NOT NULL GROUP BY ALL) GROUP BY ALL)
 SELECT window_id, {_slots('l')} * 12 AS exact_counter, 8192::BIGINT AS sketch_counter, {_slots('coalesce(d, 0)')} * 8 + coalesce(sets, 0) AS exact_users,
-  {_slots('coalesce(d, 0)')} * 8 + coalesce(d, 0) * 272 AS sketch_users, {_slots('a')} * 12 AS exact_ranking, {memory.space_saving(4096)}::BIGINT AS sketch_ranking
+  {_slots('coalesce(d, 0)')} * 8 + coalesce(d, 0) * 272 AS sketch_users, {_slots('a')} * 12 AS exact_ranking, 147456::BIGINT AS sketch_ranking
 FROM k LEFT JOIN s USING (window_id)"""
 )
 def memory_model(spark, sf_dir):
@@ -354,7 +360,7 @@ def ranking_side_by_side(spark, sf_dir):
 
 @_query(
     """WITH a AS (SELECT seq, CASE seq % 4 WHEN 0 THEN '203.0.' || (seq % 256) || '.' || (seq % 200) WHEN 1 THEN '2001:db8:' || (seq % 99) || ':2::' || (seq % 7) WHEN 2 THEN NULL ELSE '::' || (seq % 9) END AS address FROM (SELECT event_id AS seq FROM events))
-SELECT seq, CASE WHEN address IS NULL OR trim(address) = '' THEN 'unknown'
+SELECT seq, CASE WHEN address IS NULL OR regexp_full_match(address, '\\s*') THEN 'unknown'
   WHEN contains(address, ':') THEN CASE WHEN len(address) - len(replace(address, ':', '')) >= 3 THEN array_to_string(string_split(address, ':')[1:3], ':') || '::x' ELSE address END
   WHEN contains(address, '.') THEN regexp_replace(address, '[.][^.]*$', '.x') ELSE address END AS label FROM a"""
 )
@@ -371,7 +377,7 @@ def synthetic_labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("source")).distinct().select("source", labels.synthetic(F.col("source")).alias("label"))
 
 
-_STEPS = " ".join(f"WHEN n / 1024 <= {step}::DOUBLE * p THEN {step}::DOUBLE * p * 1024" for step in labels.STEPS)
+_STEPS = " ".join(f"WHEN n / 1024 <= {step}::DOUBLE * p THEN {step}::DOUBLE * p * 1024" for step in (1, 1.2, 1.6, 2, 2.4, 3.2, 4, 5, 6, 8, 10))
 
 
 @_query(
@@ -392,22 +398,85 @@ def zipf_stream(spark, sf_dir):
     return zipf.zipf_events(spark, 2_000, 100, 0.8, 9, 120_000, 0, 600_000)
 
 
+def _stream(spark, sf_dir):
+    return capture.from_events(detect.stream_of(spark, f"{sf_dir}/events.parquet"))
+
+
 @_query(f"WITH {LOGINS}, {BF} SELECT * FROM bf")
 def stream_brute_force(spark, sf_dir):
-    events = capture.from_events(detect.stream_of(spark, f"{sf_dir}/events.parquet"))
-    return detect.drain(detect.brute_force(events, DAY, T.brute_force))
+    return detect.drain(detect.brute_force(_stream(spark, sf_dir), DAY, T.brute_force, SPAN))
 
 
 @_query(f"WITH {LOGINS}, {UE} SELECT * FROM ue")
 def stream_user_enumeration(spark, sf_dir):
-    events = capture.from_events(detect.stream_of(spark, f"{sf_dir}/events.parquet"))
-    return detect.drain(detect.user_enumeration(events, DAY, T.user_enumeration))
+    return detect.drain(detect.user_enumeration(_stream(spark, sf_dir), DAY, T.user_enumeration, SPAN))
+
+
+@_query(f"WITH {EV}, {TOP} SELECT window_id, source, n, CAST(rank AS INTEGER) AS rank FROM top")
+def stream_top_attackers(spark, sf_dir):
+    return exact.top_k(detect.drain(detect.activity_counts(_stream(spark, sf_dir), DAY, SPAN)), T.top_k, ["window_id"])
 
 
 @_query(ORACLE["brute_force_crossing"])
 def stream_crossing_alerts(spark, sf_dir):
-    events = capture.from_events(detect.stream_of(spark, f"{sf_dir}/events.parquet"))
-    return detect.drain(detect.crossing_alerts(events, DAY, T.brute_force), "append")
+    return detect.drain(detect.crossing_alerts(_stream(spark, sf_dir), DAY, T.brute_force, SPAN), "append")
+
+
+#: A capture made of the events: absent, empty, nested and braced sources, users as text and number, both kinds of time.
+_LINES = """concat('{"eventid": "', CASE event_type WHEN 'view' THEN 'cowrie.session.connect' WHEN 'error' THEN 'cowrie.login.failed' WHEN 'click' THEN 'cowrie.command.input' WHEN 'signup' THEN 'cowrie.session.file_download.failed' ELSE 'cowrie.client.kex' END,
+  '", "src_ip": ', CASE event_id % 5 WHEN 0 THEN 'null' WHEN 1 THEN '""' WHEN 2 THEN '{"a": [1]}' WHEN 3 THEN '"{braced}"' ELSE concat('"10.0.0.', CAST(user_id % 250 AS STRING), '"') END,
+  ', "username": ', CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS STRING) ELSE concat('"u', CAST(user_id AS STRING), '"') END,
+  CASE WHEN event_id % 3 = 0 THEN concat(', "timestamp": "', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), 'Z"') ELSE concat(', "epoch": ', CAST(timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS STRING), '.9') END, '}') AS value"""
+
+
+@_query(
+    """SELECT epoch_us(ts) // 1000 AS ts_ms, CASE event_id % 5 WHEN 3 THEN '{braced}' WHEN 4 THEN '10.0.0.' || (user_id % 250) END AS source,
+  CASE WHEN event_id % 2 = 0 THEN '' ELSE 'u' END || user_id AS actor,
+  CASE event_type WHEN 'view' THEN 'CONNECT' WHEN 'error' THEN 'LOGIN' WHEN 'click' THEN 'COMMAND' ELSE 'FILE_TRANSFER' END AS action,
+  CASE WHEN event_type IN ('error', 'signup') THEN 'FAILURE' ELSE 'UNKNOWN' END AS outcome FROM events WHERE event_type IN ('view', 'error', 'click', 'signup')"""
+)
+def capture_normalize(spark, sf_dir):
+    path = scratch(spark, "capture")
+    spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(_LINES).write.text(path)
+    return capture.normalize(capture.read_capture(spark, path)).drop("seq")
+
+
+@_query(f"WITH {EV} SELECT seq, sum(least(greatest(gap, 0), 250)) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS wall_ms FROM (SELECT seq, coalesce(ts_ms - lag(ts_ms) OVER (ORDER BY seq), 0) / 1024.0::DOUBLE AS gap FROM ev)")
+def replay_schedule(spark, sf_dir):
+    return replay.scaled_delays(capture.events(spark, sf_dir).select("seq", "ts_ms"), 1024.0).select("seq", "wall_ms")
+
+
+@_query("SELECT error, failure, CAST(ceil(2.718281828459045 / error) AS BIGINT) AS width, CAST(greatest(ceil(ln(1 / failure)), 1) AS BIGINT) AS depth, CAST(least(greatest(ceil(2 * log2(1.04 / error)), 4), 16) AS BIGINT) AS precision FROM (SELECT n / 1000.0::DOUBLE AS error, 1.0::DOUBLE / (n + 2) AS failure FROM range(1, 500) AS t(n))")
+def sketch_sizes(spark, sf_dir):
+    rows = [(e, f, *cms.sizes(e, f), hll.precision_for(e)) for n in range(1, 500) for e, f in [(n / 1000, 1 / (n + 2))]]
+    return spark.createDataFrame(rows, "error double, failure double, width long, depth long, precision long")
+
+
+@_query(f"SELECT CAST(sum(exact_counter + exact_users + exact_ranking) AS BIGINT) AS exact_bytes, CAST(sum(sketch_counter + sketch_users + sketch_ranking) AS BIGINT) AS sketch_bytes FROM ({ORACLE['memory_model']})")
+def memory_total(spark, sf_dir):
+    return memory.total(memory.by_window(_windowed(spark, sf_dir), S))
+
+
+@_query(f"SELECT window_id, sketch_users / exact_users AS users_ratio, sketch_ranking / exact_ranking AS ranking_ratio FROM ({ORACLE['memory_model']})")
+def memory_ratio(spark, sf_dir):
+    sums = memory.by_window(_windowed(spark, sf_dir), S)
+    return sums.select("window_id", *(memory.ratio(F.col(f"sketch_{n}"), F.col(f"exact_{n}")).alias(f"{n}_ratio") for n in ("users", "ranking")))
+
+
+@_query(f"WITH {EV} SELECT window_id, count(DISTINCT source) AS exact_keys, least(count(DISTINCT source), 64) AS sketch_keys FROM ev GROUP BY ALL")
+def ranking_tracked_keys(spark, sf_dir):
+    events = _windowed(spark, sf_dir)
+    return compare.tracked(events, space_saving.summaries(events, 64))
+
+
+@_query()
+def sizing_rankings(spark, sf_dir):
+    return sizing.rankings(spark, [1_000, 5_000])
+
+
+@_query()
+def sizing_counters(spark, sf_dir):
+    return sizing.counters(spark, [1_000])
 
 
 @_query(

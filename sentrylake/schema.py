@@ -15,7 +15,7 @@ BRUTE_FORCE, USER_ENUMERATION, TOP_ATTACKERS = "BRUTE_FORCE", "USER_ENUMERATION"
 EVENT_COLUMNS = ("seq", "ts_ms", "source", "actor", "action", "outcome")
 
 CAPTURE_SCHEMA = T.StructType(
-    [T.StructField(n, t) for n, t in (("eventid", T.StringType()), ("src_ip", T.StringType()), ("username", T.StringType()), ("epoch", T.DoubleType()), ("timestamp", T.StringType()))]
+    [T.StructField(n, t) for n, t in (("eventid", T.StringType()), ("src_ip", T.VariantType()), ("username", T.VariantType()), ("epoch", T.DoubleType()), ("timestamp", T.StringType()))]
 )
 
 #: Event kinds of the capture format that are kept, with action and outcome.

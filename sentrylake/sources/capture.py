@@ -10,13 +10,13 @@ from ..schema import CAPTURE_SCHEMA, EVENT_KINDS
 
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines as columns with `seq`, their order. A malformed line fails the read; blank lines are skipped."""
-    raw = spark.read.schema(CAPTURE_SCHEMA).option("mode", "FAILFAST").json(path)
+    raw = _texts(spark.read.schema(CAPTURE_SCHEMA).option("mode", "FAILFAST").json(path))
     return raw.withColumn("seq", F.monotonically_increasing_id())
 
 
 def stream_capture(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
     """The same as a stream over the files of a folder; `seq` is the event time in this case."""
-    raw = spark.readStream.schema(CAPTURE_SCHEMA).option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_trigger).json(folder)
+    raw = _texts(spark.readStream.schema(CAPTURE_SCHEMA).option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_trigger).json(folder))
     return raw.withColumn("seq", event_ms(F.col("epoch"), F.col("timestamp")))
 
 
@@ -30,9 +30,15 @@ def _kind(eventid: Column, field: int) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for k, v in EVENT_KINDS.items() for x in (k, v[field]))), eventid)
 
 
+def _texts(raw: DataFrame) -> DataFrame:
+    """Source and user as text; null where they are nested JSON values. A text that only looks like one stays."""
+    scalar = lambda c: F.when(~F.schema_of_variant(c).rlike("^(OBJECT|ARRAY)"), F.variant_get(c, "$", "string"))
+    return raw.withColumns({c: scalar(c) for c in ("src_ip", "username")})
+
+
 def present(text: Column) -> Column:
-    """Null where a text is null or empty, or is a nested JSON value."""
-    return F.when((text != "") & ~F.substring(text, 1, 1).isin("{", "["), text)
+    """Null where a text is null or empty."""
+    return F.when(text != "", text)
 
 
 def normalize(raw: DataFrame) -> DataFrame:

@@ -1,13 +1,12 @@
 """Detections over streams of canonical events.
 
 Windows close by watermark, in event time: a late event within the delay still counts in its own window, one beyond
-it is dropped. In append mode the last window stays open until an event or watermark passes it; `drain` runs a bounded
-stream to its end in complete mode, which flushes it.
+it is dropped. In append mode a window's rows come when the watermark passes its end, all in one batch. `drain` runs a
+bounded stream to its end in update mode, so that no window waits for a later event, and keeps each key's last row.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import exact
+from ..session import scratch
+
 
 def _timed(events: DataFrame, window_ms: int, delay: str) -> DataFrame:
     timed = events.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
@@ -50,11 +52,23 @@ def user_enumeration_sketch(events: DataFrame, window_ms: int, threshold: int, d
     return grouped.where(F.col("n") >= threshold).select(_window_id(window_ms), "source", "n")
 
 
-def top_attackers(events: DataFrame, window_ms: int, k: int, delay: str = "0 seconds") -> DataFrame:
-    """(window_id, source, n, rank): counts by source, then the window's first k; append mode."""
-    per = _timed(events, window_ms, delay).groupBy("_w", "source").agg(F.count("*").alias("n"))
-    again = per.groupBy(F.window(F.window_time("_w"), f"{window_ms} milliseconds").alias("_w")).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "source"))), 1, k).alias("_top"))
-    return again.select(_window_id(window_ms), F.posexplode("_top").alias("_i", "_e")).select("window_id", F.col("_e.source").alias("source"), (-F.col("_e.m")).alias("n"), (F.col("_i") + 1).alias("rank"))
+def activity_counts(events: DataFrame, window_ms: int, delay: str = "0 seconds") -> DataFrame:
+    """(window_id, source, n): events of any action, as a stream."""
+    grouped = _timed(events, window_ms, delay).groupBy("_w", "source").agg(F.count("*").alias("n"))
+    return grouped.select(_window_id(window_ms), "source", "n")
+
+
+def write_rankings(counts: DataFrame, k: int, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Rankings (window_id, source, n, rank) of closed windows, appended to Parquet as they close.
+
+    State holds counts only. A window's counts arrive in one batch, which is ranked like a table: cut to k in each
+    partition before the shuffle, so no task sees all sources.
+    """
+
+    def rank(batch: DataFrame, _: int) -> None:
+        exact.top_k(batch, k, ["window_id"]).write.mode("append").parquet(path)
+
+    return counts.writeStream.outputMode("append").foreachBatch(rank).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def crossing_alerts(events: DataFrame, window_ms: int, threshold: int, delay: str = "0 seconds") -> DataFrame:
@@ -91,15 +105,25 @@ def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Dat
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a bounded stream to its end and return what it gave; results are alerts, small enough for memory."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain(stream: DataFrame, mode: str = "update", keys: tuple[str, ...] = ("window_id", "source"), value: str = "n") -> DataFrame:
+    """Run a bounded stream to its end and return the rows it wrote; in update mode the last of each key.
+
+    `value` only grows, so the last row of a key is its largest. Rows go to the shared folder, none to the driver.
+    """
+    spark = stream.sparkSession
+    path = scratch(spark, "drained")
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").parquet(path)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch(spark, "drain-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(stream.schema).parquet(path)
+    return rows if mode == "append" else rows.groupBy(*keys).agg(F.max(value).alias(value))
 
 
 def throughput(query: StreamingQuery) -> float:
-    """Rows a second of the latest batch; 0 before the first."""
-    progress = query.lastProgress
-    return float(progress["processedRowsPerSecond"]) if progress else 0.0
+    """Rows a second of the latest batch that had any; 0 before the first."""
+    rates = [p["processedRowsPerSecond"] for p in query.recentProgress if p["numInputRows"]]
+    return float(rates[-1]) if rates else 0.0

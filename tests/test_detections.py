@@ -1,6 +1,7 @@
 """Scenarios and properties of the detections, on small events made here."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,58 @@ def test_space_saving_bounds(spark):
         space_saving.Summary(0)
 
 
+def by_heap(stream, capacity):
+    """(key, count, error) in the order of a binary min-heap of triples, kept by swaps."""
+    heap, where = [], {}
+
+    def swap(a, b):
+        heap[a], heap[b] = heap[b], heap[a]
+        where[heap[a][2]], where[heap[b][2]] = a, b
+
+    def down(i):
+        while 2 * i + 1 < len(heap):
+            j = min((c for c in (2 * i + 1, 2 * i + 2) if c < len(heap)), key=lambda c: (heap[c][0], c))
+            if heap[i][0] <= heap[j][0]:
+                return
+            swap(i, j)
+            i = j
+
+    for k in stream:
+        if k in where:
+            heap[where[k]][0] += 1
+            down(where[k])
+        elif len(heap) < capacity:
+            heap.append([1, 0, k])
+            i = where[k] = len(heap) - 1
+            while i and heap[(i - 1) // 2][0] > heap[i][0]:
+                swap(i, (i - 1) // 2)
+                i = (i - 1) // 2
+        else:
+            least, _, old = heap[0]
+            del where[old]
+            heap[0], where[k] = [least + 1, least, k], 0
+            down(0)
+    return [(k, n, e) for n, e, k in heap]
+
+
+@pytest.mark.parametrize("capacity", [1, 4, 7, 64])
+def test_space_saving_evicts_in_the_order_of_the_heap(spark, capacity):
+    rng = random.Random(5)
+    stream = [rng.randrange(5) if i % 4 == 0 else 100 + rng.randrange(500) for i in range(4_000)]
+    s = space_saving.Summary(capacity)
+    for k in stream:
+        s.add(k)
+    want = by_heap(stream, capacity)
+    assert s.heap == [k for k, _, _ in want]
+    assert sorted(s.rows()) == sorted(want)
+    few = space_saving.Summary(4)
+    for k in range(100):
+        few.add(k)
+    assert sorted(few.rows()) == [(96, 25, 24), (97, 25, 24), (98, 25, 24), (99, 25, 24)]
+    windowed = spark.createDataFrame([(0, i, k) for i, k in enumerate(stream)], "window_id long, seq long, source long")
+    assert sorted((r.source, r.n, r.error) for r in space_saving.summaries(windowed, capacity).collect()) == sorted(want)
+
+
 def test_space_saving_is_exact_below_capacity(spark):
     own = with_window(zipfish(spark), 60_000)
     a = sorted((r.window_id, r.source, r.n) for r in exact.top_attackers(own, 5).collect())
