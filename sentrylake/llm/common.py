@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import hadoop, scratch
+
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -20,37 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _own_dir() -> str:
-    """A folder of this process, removed when it ends."""
-    path = tempfile.mkdtemp(prefix="sentrylake-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A local session may do without it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_dir()
-
-
-def _hadoop(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver ends, or earlier by remove()."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    files, at = _hadoop(spark, path)
-    files.deleteOnExit(at)
-    return path
-
-
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write `df` once into the shared folder and return the written table.
 
@@ -66,7 +32,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 def remove(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:
-        files, at = _hadoop(df.sparkSession, df.written_to)
+        files, at = hadoop(df.sparkSession, df.written_to)
         files.delete(at, True)
 
 
