@@ -1,19 +1,25 @@
 """Token ids in a binary file format with a minimal perfect hash index.
 
-A store is a Parquet folder, so that any file system of Spark's will do. A row is a shard:
+A store is a folder with two Parquet tables, so that any file system of Spark's will do.
+
+shards: a row is a shard of about SHARD_BYTES of whole documents; row groups are small and its columns `part` and `seq`
+have statistics, so a reader that asks for a few shards reads about those.
   part, seq      shards in ascending order of doc_id; one input partition gives one or more
   n_docs, n_tokens, first_id, last_id
   width          2 or 4: bytes of an id in `payload`, as the vocabulary needs
   keys           the doc_ids in order, 8 bytes each, then a bit for each that is null
-  index          the hash index, below
+  index          a hash index of the shard's documents: offset and number of ids of each
   payload        raw little-endian ids, documents one after the other, each closed by the end id
 
-The index maps a key (doc_id and its occurrence within the shard) to a slot in constant expected time. Levels of bit
-arrays hold the keys that are alone at their bit; colliding keys go to the next level, and the rank of a key's bit
-among all set bits is its slot, so n keys have exactly the slots 0 to n-1. A slot holds a 32-bit fingerprint of the
-key, which tells absent keys, and the offset and number of its ids.
+index: a row is a bucket of all documents of the store by a hash of the key, with a hash index that gives part, seq,
+offset and number of ids. Some BUCKET keys make a bucket, so one key needs one bucket and one shard.
+
+A hash index maps a key (doc_id and its occurrence, within the shard or within the store) to a slot in constant
+expected time. Levels of bit arrays hold the keys that are alone at their bit; colliding keys go to the next level, and
+the rank of a key's bit among all set bits is its slot, so n keys have exactly the slots 0 to n-1. A slot holds a 32-bit
+fingerprint of the key, which tells absent keys, and the values.
   u32 n, u32 levels, then for each level u32 bits and the bit array in whole bytes; u32 fingerprint[n],
-  u64 offset[n], u64 count[n]
+  then u64 value[n] for each kind of value
 
 Defined results: null or empty text is the end id alone; a null doc_id sorts first; a repeated doc_id keeps all its
 rows, in the order of their texts' hashes.
@@ -33,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .encode import encoder
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES, BUCKET = 1 << 20, 1 << 16
+RUN = 4_096  # occurrences of a doc_id that share a bucket
 GAMMA = 1.5
 SCHEMA = "part int, seq int, n_docs long, n_tokens long, first_id long, last_id long, width int, keys binary, index binary, payload binary"
 
@@ -100,19 +107,25 @@ class HashIndex:
         return out
 
 
-def dump_index(keys: np.ndarray, offset: np.ndarray, count: np.ndarray) -> bytes:
+def dump_index(keys: np.ndarray, *values: np.ndarray) -> bytes:
     index = HashIndex.build(keys)
     slot, n = index.slots(keys), len(keys)
-    prints, at, sizes = np.zeros(n, "<u4"), np.zeros(n, "<u8"), np.zeros(n, "<u8")
-    prints[slot], at[slot], sizes[slot] = (keys >> np.uint64(32)).astype(np.uint32), offset, count
-    levels = b"".join(struct.pack("<I", len(b)) + np.packbits(b, bitorder="little").tobytes() for b in index.levels)
-    return struct.pack("<II", n, len(index.levels)) + levels + prints.tobytes() + at.tobytes() + sizes.tobytes()
-
-
-class Shard:
-    """One shard, opened: constant-time access to the ids of a key."""
-
-    def __init__(self, index: bytes, payload: bytes, width: int):
+    prints = np.zeros(n, "<u4")
+    prints[slot] = (keys >> np.uint64(32)).astype(np.uint32)
+    parts = [struct.pack("<II", n, len(index.levels))]
+    parts += [struct.pack("<I", len(b)) + np.packbits(b, bitorder="little").tobytes() for b in index.levels]
+    parts.append(prints.tobytes())
+    for v in values:
+        own = np.zeros(n, "<u8")
+        own[slot] = v
+        parts.append(own.tobytes())
+    return b"".join(parts)
+
+
+class Table:
+    """A hash index, opened."""
+
+    def __init__(self, index: bytes, values: int = 2):
         self.n, levels = struct.unpack_from("<II", index)
         at, bits = 8, []
         for _ in range(levels):
@@ -121,9 +134,7 @@ class Shard:
             at += 4 + (size + 7) // 8
         self.hash = HashIndex(bits)
         self.prints = np.frombuffer(index, "<u4", self.n, at)
-        self.offset = np.frombuffer(index, "<u8", self.n, at + 4 * self.n).astype(np.int64)
-        self.count = np.frombuffer(index, "<u8", self.n, at + 12 * self.n).astype(np.int64)
-        self.ids = np.frombuffer(payload, f"<u{width}")
+        self.values = [np.frombuffer(index, "<u8", self.n, at + (4 + 8 * i) * self.n).astype(np.int64) for i in range(values)]
 
     def find(self, ids: np.ndarray, null: np.ndarray, nth: np.ndarray) -> np.ndarray:
         """Slots of keys; -1 where the stored fingerprint says that the key is absent."""
@@ -132,6 +143,15 @@ class Shard:
         good = (slot >= 0) & (self.prints[slot] == (keys >> np.uint64(32)).astype(np.uint32)) if self.n else np.zeros(len(keys), bool)
         return np.where(good, slot, -1)
 
+
+class Shard(Table):
+    """One shard, opened: access to the ids of a key."""
+
+    def __init__(self, index: bytes, payload: bytes, width: int):
+        super().__init__(index)
+        self.offset, self.count = self.values
+        self.ids = np.frombuffer(payload, f"<u{width}")
+
     def get(self, slot: int) -> np.ndarray:
         return self.ids[self.offset[slot] : self.offset[slot] + self.count[slot]].astype("<u4")
 
@@ -187,11 +207,62 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end: int = 2, words:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
     # equal doc_ids are dealt by their text too, so that one hot id does not fill one partition
     ranged = rows.repartitionByRange("doc_id", F.xxhash64("body")).sortWithinPartitions("doc_id", F.xxhash64("body"))
-    ranged.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
+    ranged.mapInArrow(run, SCHEMA).write.option("compression", "none").option("parquet.block.size", 8 * shard_bytes).option("parquet.page.size", shard_bytes).parquet(f"{path}/shards")
+    write_index(docs.sparkSession, path)
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+    return spark.read.schema(SCHEMA).parquet(f"{path}/shards")
+
+
+def write_index(spark: SparkSession, path: str) -> None:
+    """The index of all documents, from the shards' keys and indexes; no payload is read."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, seq, n = (batch[c][i].as_py() for c in ("part", "seq", "n_docs"))
+                ids, null = read_keys(batch["keys"][i].as_py(), n)
+                table, nth = Table(batch["index"][i].as_py()), occurrences(ids, null)
+                slot = table.find(ids, null, nth)
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(null), pa.array(nth, pa.int64()), pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, seq), pa.int32()), *(pa.array(v[slot]) for v in table.values)], ["id", "none", "nth", "part", "seq", "at", "n"])
+
+    store = open_store(spark, path)
+    rows = store.select("part", "seq", "n_docs", "keys", "index").mapInArrow(listed, "id long, none boolean, nth long, part int, seq int, at long, n long")
+    # occurrences in earlier shards, for the few doc_ids that lie in several
+    own = ["id", "none"]
+    each = rows.groupBy(*own, "part", "seq").agg(F.count("*").alias("m"))
+    several = each.groupBy(*own).agg(F.count("*").alias("shards")).where("shards > 1").select(*own)
+    order = Window.partitionBy(*own).orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = each.join(several, own, "left_semi").select(*own, "part", "seq", F.coalesce(F.sum("m").over(order), F.lit(0)).alias("before"))
+    numbered = rows.join(earlier, [*own, "part", "seq"], "left").withColumn("nth", F.col("nth") + F.coalesce("before", F.lit(0)))
+    docs = store.agg(F.sum("n_docs")).first()[0] or 0
+    buckets = int(docs) // BUCKET + 1
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def row() -> pa.RecordBatch:
+            cols = {c: np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in held]) for c in ("id", "none", "nth", "part", "seq", "at", "n")}
+            made = dump_index(hashed(cols["id"], cols["none"], cols["nth"]), *(cols[c] for c in ("part", "seq", "at", "n")))
+            return pa.record_batch([pa.array([now], pa.int32()), pa.array([buckets], pa.int32()), pa.array([made], pa.binary())], ["bucket", "buckets", "table"])
+
+        for batch in batches:
+            of = batch["bucket"].to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    if of[a] != now and held:
+                        yield row()
+                        held = []
+                    now = int(of[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield row()
+
+    bucket = F.pmod(F.xxhash64("id", "none", F.floor(F.col("nth") / RUN).cast("long")), F.lit(buckets)).cast("int")
+    dealt = numbered.select(bucket.alias("bucket"), "id", "none", "nth", "part", "seq", "at", "n").repartition("bucket").sortWithinPartitions("bucket")
+    dealt.mapInArrow(build, "bucket int, buckets int, table binary").write.option("compression", "none").option("parquet.block.size", 8 << 20).parquet(f"{path}/index")
 
 
 def shard_starts(store: DataFrame) -> DataFrame:
@@ -223,23 +294,49 @@ def report(spark: SparkSession, path: str) -> DataFrame:
     return found.join(shard_starts(store), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def locate(spark: SparkSession, path: str, doc_ids: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(doc_id, part, seq, offset, ids) of every occurrence of the keys: one bucket of the index is read for each."""
+    index = spark.read.schema("bucket int, buckets int, table binary").parquet(f"{path}/index")
+    first = index.select("buckets").first()
+    out, run, open_ = [], 0, sorted(set(doc_ids))
+    while first and open_:
+        asked = spark.createDataFrame([(x,) for x in open_], "id long").select("id", F.pmod(F.xxhash64("id", F.lit(False), F.lit(run).cast("long")), F.lit(first["buckets"])).cast("int").alias("bucket"))
+        by_bucket: dict[int, list[int]] = {}
+        for r in asked.collect():
+            by_bucket.setdefault(r["bucket"], []).append(r["id"])
+
+        def look(batches: Iterator[pa.RecordBatch], by_bucket=by_bucket, run=run) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    table, left = Table(batch["table"][i].as_py(), 4), np.array(by_bucket[batch["bucket"][i].as_py()], np.int64)
+                    for nth in range(run * RUN, (run + 1) * RUN):
+                        slot = table.find(left, np.zeros(len(left), bool), np.full(len(left), nth))
+                        left, slot = left[slot >= 0], slot[slot >= 0]
+                        if not len(left):
+                            break
+                        yield pa.record_batch([pa.array(left), pa.array(np.full(len(left), nth), pa.int64()), *(pa.array(v[slot]) for v in table.values)], ["id", "nth", "part", "seq", "at", "n"])
+
+        found = index.where(F.col("bucket").isin(list(by_bucket))).select("bucket", "table").mapInArrow(look, "id long, nth long, part long, seq long, at long, n long").collect()
+        out += [(r["id"], r["part"], r["seq"], r["at"], r["n"]) for r in found]
+        run += 1
+        open_ = sorted({r["id"] for r in found if r["nth"] == run * RUN - 1})
+    return out
+
+
 def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of some keys; only shards whose range holds one of them are read."""
-    wanted = sorted(set(doc_ids))
+    """(doc_id, ids) of some keys; only the shards that hold them are read."""
+    places: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for doc, part, seq, at, n in locate(spark, path, doc_ids):
+        places.setdefault((part, seq), []).append((doc, at, n))
     near = F.lit(False)
-    if wanted:
-        near = F.exists(F.array(*map(F.lit, wanted)), lambda k: (k >= F.col("first_id")) & (k <= F.col("last_id")))
+    for part in sorted({p for p, _ in places}):
+        near = near | ((F.col("part") == part) & F.col("seq").isin([s for p, s in places if p == part]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.array(wanted, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard(batch["index"][i].as_py(), batch["payload"][i].as_py(), batch["width"][i].as_py())
-                nth, left = 0, keys
-                while len(left):
-                    slot = shard.find(left, np.zeros(len(left), bool), np.full(len(left), nth))
-                    left, slot, nth = left[slot >= 0], slot[slot >= 0], nth + 1
-                    yield pa.record_batch([pa.array(left, pa.int64()), pa.array([shard.get(s).tolist() for s in slot.tolist()], pa.list_(pa.int64()))], ["doc_id", "ids"])
-
-    store = open_store(spark, path).where(near).select("width", "index", "payload")
-    return store.mapInArrow(run, "doc_id long, ids array<bigint>")
+                ids = np.frombuffer(batch["payload"][i].as_buffer(), f"<u{batch['width'][i].as_py()}")
+                for doc, at, n in places[batch["part"][i].as_py(), batch["seq"][i].as_py()]:
+                    yield pa.record_batch([pa.array([doc], pa.int64()), pa.array([ids[at : at + n].tolist()], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return open_store(spark, path).where(near).select("part", "seq", "width", "payload").mapInArrow(run, "doc_id long, ids array<bigint>")

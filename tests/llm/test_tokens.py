@@ -75,10 +75,30 @@ def test_store_with_odd_rows_small_shards_and_keyed_access(spark, odd, tmp_path)
     assert found == sorted((x[0], [*ref(x[1]), 2]) for x in ODD if x[0] in (4, 5, 8))
 
 
+def test_the_index_leads_to_every_document(spark, tmp_path, monkeypatch):
+    """Many shards and buckets, a doc_id in several shards, absent keys, clashing columns, a shard of empty texts alone."""
+    monkeypatch.setattr(tokenstore, "BUCKET", 50)
+    monkeypatch.setattr(tokenstore, "RUN", 8)
+    docs = [(i, f"text number {i} " * (i % 7)) for i in range(600)] + [(77, f"again {i}") for i in range(40)] + [(None, "no id"), (1_000, ""), (1_001, None), (1_002, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'mine' AS part", "1 AS body", "2 AS seq", "3 AS keys")
+    path = f"file://{tmp_path}/store"
+    tokenstore.write_store(df, path, tokenizer_path("word_bpe_49k.json"), shard_bytes=200)
+    assert spark.read.parquet(f"{path}/index").count() > 5
+    ref = whole("word_bpe_49k.json")
+    asked = [77, 0, 599, 1_000, 1_002, 5_000, -1]
+    got = sorted((r.doc_id, list(r.ids)) for r in tokenstore.fetch(spark, path, asked).collect())
+    assert got == sorted((d, [*ref(t), 2]) for d, t in docs if d in asked)
+    assert len({(p, q) for d, p, q, _, _ in tokenstore.locate(spark, path, [77])}) > 1
+    rows = [tuple(r) for r in tokenstore.report(spark, path).collect()]
+    assert sorted((r[0], r[2], r[3]) for r in rows if r[0] is not None) == sorted((r[0], r[2], r[3]) for r in expected_store(docs) if r[0] is not None)
+    assert sorted(rows, key=lambda r: r[1])[-1][1] + 1 == sum(r[2] for r in rows) and len(rows) == len(docs)
+
+
 def test_empty_store(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     tokenstore.write_store(spark.createDataFrame([], SCHEMA), path, tokenizer_path("word_bpe_49k.json"))
     assert tokenstore.report(spark, path).count() == 0
+    assert tokenstore.fetch(spark, path, [1]).count() == 0
 
 
 def test_hash_index_is_minimal_and_perfect():
