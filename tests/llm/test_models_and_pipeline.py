@@ -1,15 +1,19 @@
 """Nearest neighbours, language-model scores and the pipeline."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from llm_cases import DATA, ODD
+from test_near_copies import slow_kept
+from test_text_operators import slow_spans, slow_tags, words
+from test_tokens import check_packing
 
 import corpus_pipeline
-from sentrylake.llm import ann, attention, lm, queries
+from sentrylake.llm import ann, attention, lm, queries, toxicity
 from sentrylake.llm.common import tokenizer_path
 
 # Neighbours
@@ -65,8 +69,9 @@ def test_neighbours_odd_rows(spark):
 
 
 @pytest.mark.parametrize("kind", ["clustered", "flat"])
-def test_recall_where_windows_are_a_part_of_the_table(spark, kind):
-    """20,000 vectors: in clusters three windows are below 5 % of the rows; without structure the window has grown."""
+def test_recall_where_windows_are_a_part_of_the_table(spark, kind, monkeypatch):
+    """20,000 vectors: in clusters three windows are far below 5 % of the rows; without structure they are larger."""
+    monkeypatch.setattr(ann, "LEAST", 30)
     rng = np.random.default_rng(8)
     n = 20_000
     x = rng.normal(size=(n, 64))
@@ -79,7 +84,7 @@ def test_recall_where_windows_are_a_part_of_the_table(spark, kind):
         window = r.window
     want = slow_nearest(list(enumerate(x)), every=100)
     assert np.mean([len(got[q] & {a for a, _ in want[q]}) / 5 for q in want]) >= 0.9
-    assert 3 * window < 0.05 * n if kind == "clustered" else window > 2 * ann.LEAST
+    assert 3 * window < 0.05 * n and window < 100 if kind == "clustered" else window > 200
 
 
 def test_hilbert_curve_visits_every_cell_by_single_steps():
@@ -258,4 +263,48 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, clashing, no_docs):
             now = stage(spark, now, DATA)
             assert now.columns == docs.columns
         rows = corpus_pipeline.STAGES[-1][1](spark, now, DATA).collect()
-        assert {r.doc_id for r in rows} <= {x[0] for x in ODD}
+        assert {r.doc_id for r in rows} == ({1, 4, 6, 7, 8, None} if docs is clashing else set())
+
+
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
+
+
+def slow_redacted(text):
+    """Two rounds of replacing all spans, the first of overlapping ones."""
+    for _ in range(2):
+        spans = [(a, r, b, k) for a, r, b, k in slow_spans(text)]
+        for m in re.finditer(IBAN, text):
+            c = m[0].replace(" ", "")
+            if 15 <= len(c) <= 34 and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1:
+                spans.append((m.start(), 4, m.end(), "iban"))
+        for m in re.finditer(SSN, text):
+            if re.search(r"(?i)ssn|social|security|taxpayer", text[max(0, m.start() - 40) : m.start()] + "\n" + text[m.end() : m.end() + 40]):
+                spans.append((m.start(), 5, m.end(), "ssn"))
+        out, at = [], 0
+        for start, _, end, kind in sorted(spans):
+            if start >= at:
+                out += [text[at:start], f"[{kind.upper()}]"]
+            at = max(at, end)
+        text = "".join(out) + text[at:]
+    return text
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage done slowly on the rows that the one before it kept."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    now = [(r.doc_id, r.text) for r in docs.collect()]
+    if model.weights:
+        now = [(d, t) for d, t in now if slow_tags(model, t)[0] < 0.7]
+    kept = slow_kept(now)
+    now = [(d, t) for d, t in now if d in kept]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    known = {w[i : i + n] for _, t in items for w in [tuple(words(t))] for n in [min(10, len(w))] for i in range(len(w) - n + 1) if n}
+    sizes = {len(w) for w in known}
+    clean = lambda w: not any(w[i : i + n] in known for n in sizes for i in range(len(w) - n + 1))
+    now = [(d, t) for d, t in now if clean(tuple(words(t)))]
+    now = [(d, slow_redacted(t)) for d, t in now]
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    assert {r.doc_id for r in rows} == {d for d, _ in now} and len(now) < docs.count()
+    check_packing(rows, now)
