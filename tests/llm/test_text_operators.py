@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -13,6 +14,7 @@ from llm_cases import CLASHES, DATA, ODD
 from pyspark.sql import functions as F
 
 from sentrylake.llm import decontaminate, graph, licenses, pii, queries, reshard, simhash, toxicity
+from sentrylake.llm.common import word_runs
 
 
 def docs_of(spark):
@@ -87,13 +89,17 @@ def test_no_link_between_different_fingerprints_is_lost(spark):
     assert got == want
 
 
-def test_long_texts_in_runs_have_the_same_fingerprint(monkeypatch):
-    text = " ".join(f"w{i * i % 977}" for i in range(3_000)).encode()
+@pytest.mark.parametrize("limit", [1, 7, 50, 1000])
+def test_long_texts_in_runs_have_the_same_fingerprint(monkeypatch, limit):
+    text = " ".join(f"w{i * i % 977}" + "\n\t " * (i % 3) for i in range(3_000)).encode()
+    assert [w for run in word_runs(text, limit) for w in run] == text.lower().split()
     whole = simhash.fingerprint(text)
-    monkeypatch.setattr(simhash, "_LONG", 100)
-    monkeypatch.setattr(simhash, "word_runs", lambda t: (t[i : i + 0] or w for i, w in enumerate([t.lower().split()[k : k + 7] for k in range(0, 3_000, 7)])))
+    assert whole == (slow_print(text.decode()) + 2**63) % 2**64 - 2**63
+    monkeypatch.setattr(simhash, "_LONG", 3)
+    monkeypatch.setattr(simhash, "word_runs", partial(word_runs, limit=limit))
     assert simhash.fingerprint(text) == whole
-    assert simhash.fingerprint(b"One  two") == (slow_print("One  two") + 2**63) % 2**64 - 2**63
+    for few in (b"One  two", b"one", b" \n   "):
+        assert simhash.fingerprint(few) == (slow_print(few.decode()) + 2**63) % 2**64 - 2**63
 
 
 def test_components_of_chains_and_stars(spark):
