@@ -72,18 +72,21 @@ def user_enumeration_crossing(windowed: DataFrame, threshold: int) -> DataFrame:
     return first.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == threshold).select("window_id", "source", "seq")
 
 
-def login_totals(windowed: DataFrame) -> DataFrame:
-    """(window_id, source, attempts, users): both login figures from one pass.
+def totals(windowed: DataFrame) -> DataFrame:
+    """(window_id, source, n, attempts, users): events, logins and users of logins, all figures from one pass.
 
     Counted by user first, so a hot source is spread by its users and arrives at its own task pre-aggregated.
     """
-    by_user = logins(windowed).groupBy("window_id", "source", "actor").agg(F.count("*").alias("_n"))
-    return by_user.groupBy("window_id", "source").agg(F.sum("_n").alias("attempts"), F.count("actor").alias("users"))
+    by_user = windowed.groupBy("window_id", "source", "actor").agg(F.count("*").alias("_n"), F.count_if(F.col("action") == "LOGIN").alias("_l"))
+    known = (F.col("_l") > 0) & F.col("actor").isNotNull()
+    return by_user.groupBy("window_id", "source").agg(F.sum("_n").alias("n"), F.sum("_l").alias("attempts"), F.count_if(known).alias("users"))
 
 
 def alerts(windowed: DataFrame, brute: int, users: int, k: int, ranking: bool = True) -> DataFrame:
-    """All three detections as (type, key, window_id): one pass for the thresholds, one for the ranking."""
+    """All three detections as (type, key, window_id). Thresholds and ranking read the same shuffled totals."""
     raised = F.array_compact(F.array(F.when(F.col("attempts") >= brute, F.lit(BRUTE_FORCE)), F.when(F.col("users") >= users, F.lit(USER_ENUMERATION))))
-    crossed = login_totals(windowed).where((F.col("attempts") >= brute) | (F.col("users") >= users))
+    per = totals(windowed if ranking else logins(windowed))
+    used = F.col("n") + F.col("attempts") + F.col("users") > 0  # names all columns on both sides, so that the exchange is one
+    crossed = per.where(used & ((F.col("attempts") >= brute) | (F.col("users") >= users)))
     thresholds = crossed.select(F.explode(raised).alias("type"), F.col("source").alias("key"), "window_id")
-    return thresholds.unionByName(_alert(TOP_ATTACKERS, top_attackers(windowed, k))) if ranking else thresholds
+    return thresholds.unionByName(_alert(TOP_ATTACKERS, top_k(per.where(used), k, ["window_id"]))) if ranking else thresholds
