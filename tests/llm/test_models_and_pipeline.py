@@ -171,7 +171,7 @@ def slow_score(model, doc):
         first = max(0, i // attention.SCORED * attention.SCORED - past)
         row = [int(model.rows[j]) for j in shown[first : i + 1]]
         q, k, v = (model.embedded[row].astype(float) @ model.p["qkv"].astype(float)[:, n * attention.DIM : (n + 1) * attention.DIM] for n in range(3))
-        weight = np.array([math.exp(min(30.0, max(-30.0, float(q[-1] @ k[j]))) + float(model.p["r"][len(row) - 1 - j])) for j in range(len(row))])
+        weight = np.array([math.exp(min(60.0, max(-60.0, float(q[-1] @ k[j]))) + float(model.p["r"][len(row) - 1 - j])) for j in range(len(row))])
         logits = model.base[row[-1]] + (weight / weight.sum()) @ v @ model.p["w"]
         c = model.classes[target]
         total += logits[c] - math.log(np.exp(logits).sum()) + model.inside[row[-1], model.columns[target]] + model.extra[target]
