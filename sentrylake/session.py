@@ -64,7 +64,8 @@ def hadoop(spark: SparkSession, path: str):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there goes when the driver ends, or earlier by remove()."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    files, at = hadoop(spark, path)
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, at = hadoop(spark, folder)
+    files.mkdirs(at)  # only what exists can be marked
     files.deleteOnExit(at)
-    return path
+    return f"{folder}/data"
