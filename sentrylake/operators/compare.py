@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import TOP_ATTACKERS
 from . import cms
-from .exact import brute_force, logins
+from .exact import logins
 
 KEYS = ["type", "key", "window_id"]
 
@@ -65,12 +65,10 @@ WIDTHS = [64 << i for i in range(17)]
 def false_rates(windowed: DataFrame, threshold: int, widths: list[int] | None = None, depth: int = 4, seed: int = 42) -> DataFrame:
     """(width, exact_alerts, extra, lost, false_rate) for each width; a sketch that loses an alert is an error in the data or here."""
     widths = widths or WIDTHS
-    exact = brute_force(windowed, threshold).select("window_id", "source", F.lit(1).alias("_e"))
-    alerts = cms.alerts_by_width(logins(windowed), threshold, widths, depth, seed)
-    every = exact.select("window_id", "source", "_e").withColumn("width", F.explode(F.array(*(F.lit(w).cast("long") for w in widths))))
-    same = (every["width"] == alerts["width"]) & (every["window_id"] == alerts["window_id"]) & every["source"].eqNullSafe(alerts["source"])
-    both = every.join(alerts.withColumn("_s", F.lit(1)), same, "full_outer").select(F.coalesce(every["width"], alerts["width"]).alias("width"), "_e", "_s")
-    found = both.groupBy("width").agg(F.count("_e").alias("exact_alerts"), F.count_if(F.expr("_e IS NULL")).alias("extra"), F.count_if(F.expr("_s IS NULL")).alias("lost"))
+    own = cms.decided(logins(windowed), threshold, widths, depth, seed)  # a row for each source, whose count is the exact side
+    each = F.array_distinct(F.concat(cms.raised(widths), F.when(F.col("n") >= threshold, F.array(*(F.lit(w).cast("long") for w in widths))).otherwise(F.array().cast("array<bigint>"))))
+    sides = own.select((F.col("n") >= threshold).alias("_e"), cms.raised(widths).alias("_s"), F.explode(each).alias("width"))
+    found = sides.groupBy("width").agg(F.count_if("_e").alias("exact_alerts"), F.count_if(~F.col("_e")).alias("extra"), F.count_if(~F.array_contains("_s", F.col("width"))).alias("lost"))
     return found.withColumn("false_rate", F.when(F.col("exact_alerts") > 0, F.col("extra") / F.col("exact_alerts")).otherwise(0.0))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrylake.functions import hashing, labels
-from sentrylake.operators import cms, hll, memory
+from sentrylake.operators import cms, compare, hll, memory
 
 
 def test_seeds_and_fmix32_vectors(spark):
@@ -30,6 +30,50 @@ def test_splitmix64_against_numpy(spark):
     assert got[1] & (2**64 - 1) == 0x910A2DEC89025CC1
 
 
+def slow_alerts(events, threshold, width, depth=4):
+    """The incremental alerts of one sketch, event by event. events: (window_id, source, seq), sources that are not null."""
+    a, b = hashing.seeds(42)
+
+    def mixed(key, seed):
+        h = (key & hashing.M32) ^ (seed & hashing.M32)
+        h = (h ^ h >> 16) * hashing.FMIX[0] & hashing.M32
+        h = (h ^ h >> 13) * hashing.FMIX[1] & hashing.M32
+        return h ^ h >> 16
+
+    cells, out = {}, set()
+    for w, s, _ in sorted(events, key=lambda e: e[2]):
+        mine = [(w, i, ((mixed(s, a) + i * (mixed(s, b) | 1)) & 0x7FFFFFFF) % width) for i in range(depth)]
+        for c in mine:
+            cells[c] = cells.get(c, 0) + 1
+        if min(cells[c] for c in mine) >= threshold:
+            out.add((width, w, s))
+    return out
+
+
+@pytest.mark.parametrize(("threshold", "widths", "slice_size"), [(6, [64, 128, 1024], 1 << 18), (3, [48, 30, 7], 50), (1, [5], 1), (4, [8 + i for i in range(70)], 300)])
+def test_alerts_of_many_widths_against_a_loop(spark, threshold, widths, slice_size):
+    rng = np.random.default_rng(4)
+    windows = [None, -1, 0, 3]
+    events = [(windows[int(w)], int(s), i) for i, (w, s) in enumerate(zip(rng.integers(0, 4, 1_500), rng.zipf(1.3, 1_500) % 400, strict=True))]
+    df = spark.createDataFrame(events, "window_id long, source long, seq long")
+    want = set().union(*(slow_alerts(events, threshold, w) for w in widths))
+    assert {tuple(r) for r in cms.alerts_by_width(df, threshold, widths, 4, 42, slice_size).collect()} == want
+
+
+def test_false_rates_count_alerts_and_read_no_event_twice_for_a_width(spark):
+    """One row goes to the cells of a sketch row, not one for each width; nothing is broadcast."""
+    rng = np.random.default_rng(8)
+    events = [(int(w), int(s), i) for i, (w, s) in enumerate(zip(rng.integers(0, 3, 2_000), rng.integers(0, 600, 2_000), strict=True))]
+    df = spark.createDataFrame([(*e, "LOGIN") for e in [*events, *((0, None, 2_000 + i) for i in range(6))]], "window_id long, source long, seq long, action string")
+    exact = {(w, s) for w, s, _ in events if sum(e[:2] == (w, s) for e in events) >= 4}
+    widths = [64 << i for i in range(17)]
+    found = compare.false_rates(df, 4, widths)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 2  # sketch rows, and widths of the finished rows
+    got = {r.width: (r.exact_alerts, r.extra, r.lost) for r in found.collect()}
+    assert got == {w: (len(exact) + 1, len(slow_alerts(events, 4, w)) - len(exact), 0) for w in widths}  # and the null source
+
+
 def draws(spark, n, keys):
     return spark.range(n).select(F.lit(0).cast("long").alias("window_id"), F.pmod(F.xxhash64("id"), F.lit(keys)).alias("source"), F.col("id").alias("seq"))
 
