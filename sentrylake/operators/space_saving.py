@@ -2,7 +2,8 @@
 
 Order matters to this sketch, so a window's events of one partition are one stream. Keys are dealt to `parts`
 partitions, each with its own summary of `capacity` counters; summaries of disjoint keys merge by taking the largest.
-With one part the summary is the classic one, with several the window is several tasks' work. The root of a binary heap is
+With one part the summary is the classic one, with several the window is several tasks' work. Once every part has a
+counter for each of its keys nothing is evicted and all counts are exact; `parts_without_eviction` finds how many that takes. The root of a binary heap is
 evicted, so of several smallest counters the heap's order decides.
 """
 
@@ -96,6 +97,22 @@ def summaries(windowed: DataFrame, capacity: int, parts: int = 1) -> DataFrame:
     return ordered.mapInPandas(stream, f"window_id long, part int, source {kind}, n long, error long")
 
 
+def parts_without_eviction(windowed: DataFrame, capacity: int) -> int:
+    """The fewest parts, a power of two, at which no summary of any window meets more keys than it has counters."""
+    if capacity <= 0:
+        raise ValueError("capacity must be positive")
+    keys = windowed.select("window_id", "source").distinct()
+    parts = 1
+    while parts < 1 << 30:
+        dealt = keys.groupBy("window_id", F.pmod(F.xxhash64("source"), F.lit(parts)).alias("part")).agg(F.count("*").alias("n"))
+        most = dealt.agg(F.max("n")).first()[0] or 0
+        if most <= capacity:
+            return parts
+        while most > capacity:  # parts halve the keys, or nearly so
+            parts, most = 2 * parts, (most + 1) // 2
+    raise ValueError("more keys share a hash than a summary has counters")
+
+
 def _frame(key: tuple, summary: Summary) -> pd.DataFrame:
     rows = summary.rows()
     return pd.DataFrame({"window_id": key[0], "part": key[1], "source": pd.Series([r[0] for r in rows], dtype=object), "n": [r[1] for r in rows], "error": [r[2] for r in rows]})

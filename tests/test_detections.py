@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions.windows import with_window
 from sentrylake.operators import compare, dictionary, exact, partitioning, space_saving
-from sentrylake.plans import engine
+from sentrylake.plans import engine, queries
 from sentrylake.schema import Sketches, Thresholds
+from sentrylake.sources import capture
 
 SCHEMA = "seq long, ts_ms long, source long, actor long, action string, outcome string"
 T = Thresholds(60_000, 5, 3, 2)
@@ -201,3 +202,35 @@ def test_space_saving_is_exact_below_capacity(spark):
         b = sorted((r.window_id, r.source, r.n) for r in space_saving.top(own, 5, 128, parts).collect())
         assert a == b
     assert space_saving.native(own, ["window_id"], "source", 5, 1000).count() == len(a)
+
+
+def many_sources(spark):
+    """Two windows of 700 and 40 sources, whose counts grow with the source."""
+    rows = [(w, k) for w, n in ((0, 700), (1, 40)) for k in range(n) for _ in range(1 + k % 7 + k // 100)]
+    random.Random(3).shuffle(rows)
+    return spark.createDataFrame([(i, w * 60_000, k, 1, "LOGIN", "FAILURE") for i, (w, k) in enumerate(rows)], "seq long, ts_ms long, source long, actor long, action string, outcome string")
+
+
+def test_space_saving_without_eviction_is_exact_above_capacity(spark):
+    own = with_window(many_sources(spark), 60_000)
+    parts = space_saving.parts_without_eviction(own, 64)
+    assert parts > 8 and space_saving.parts_without_eviction(own, 700) == 1
+    want = sorted((r.window_id, r.source, r.n, r["rank"], 0) for r in exact.top_attackers(own, 5).collect())
+    assert sorted((r.window_id, r.source, r.n, r["rank"], r.error) for r in space_saving.top(own, 5, 64, parts).collect()) == want
+    assert sorted((r.window_id, r.source, r.n, r["rank"], r.error) for r in space_saving.top(own, 5, 64).collect()) != want
+    with pytest.raises(ValueError, match="positive"):
+        space_saving.parts_without_eviction(own, 0)
+
+
+@pytest.mark.parametrize("query", ["space_saving_exact_regime"])
+def test_rankings_of_queries_are_exact_with_more_sources_than_counters(spark, tmp_path, query):
+    rows = spark.range(18_000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "IF(id < 9000, id, id DIV 2 * 7 % 9000) AS user_id", "'error' AS event_type", "concat('{\"k\": ', id % 50, '}') AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    want = {r.source: (r["rank"], r.n) for r in exact.top_attackers(with_window(capture.events(spark, str(tmp_path)), queries.DAY), 5).collect()}
+    got = queries.QUERIES[query](spark, str(tmp_path)).collect()
+    if query == "topk_overlap":
+        assert [r.overlap for r in got] == [1.0]
+    elif query == "space_saving_exact_regime":
+        assert {r.source: (r["rank"], r.n) for r in got} == want and {r.error for r in got} == {0}
+    else:
+        assert {r.source: (r.sketch_rank, r.sketch_n) for r in got} == {r.source: (r.exact_rank, r.exact_n) for r in got} == want
