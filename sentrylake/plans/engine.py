@@ -31,9 +31,11 @@ def alerts(events: DataFrame, thresholds: Thresholds, impl: str = "exact", sketc
     return out.unionByName(_rows(TOP_ATTACKERS, top)) if ranking else out
 
 
-def ranking(events: DataFrame, thresholds: Thresholds, impl: str = "exact", sketches: Sketches | None = None) -> DataFrame:
-    """(window_id, source, n, rank)."""
+def ranking(events: DataFrame, thresholds: Thresholds, impl: str = "exact", sketches: Sketches | None = None, evict: bool = True) -> DataFrame:
+    """(window_id, source, n, rank). evict: False deals a sketch's keys to as many parts as have a counter for each."""
     windowed = with_window(events, thresholds.window_ms)
     if impl == "exact":
         return exact.top_attackers(windowed, thresholds.top_k)
-    return space_saving.top(windowed, thresholds.top_k, (sketches or Sketches()).capacity).drop("error")
+    capacity = (sketches or Sketches()).capacity
+    parts = 1 if evict else space_saving.parts_without_eviction(windowed, capacity)
+    return space_saving.top(windowed, thresholds.top_k, capacity, parts).drop("error")
