@@ -1,11 +1,13 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands propose pairs, whole shingle sets decide.
+"""Near copies by Jaccard similarity of word shingles: SimHash and MinHash bands propose pairs, whole shingle sets decide.
 
-SimHash can't serve this contract: pairs at a similarity of 0.8 over 5 words differ in up to 17 of 64 bits on the check
-tables, and 17 differing bits leave no region wide enough for a join key.
+SimHash fingerprints and their pivot distance tables (simhash.py) propose first. Alone they can't serve this contract:
+pairs at a similarity of 0.8 over 5 words differ in up to 17 of 64 bits on the check tables, and 17 differing bits
+leave no region wide enough for a join key. MinHash bands are the way for what lies beyond SimHash's radius.
 
 Equal shingle sets collapse first. BANDS keys of ROWS minima each are the join keys; a pair at similarity s shares none
 with probability (1 - s^ROWS)^BANDS: 3e-6 at 0.8, less above. Then:
- 1. Every member of a bucket meets the bucket's smallest and largest member; pairs are verified, components formed.
+ 1. The pairs that SimHash proposes are verified, and every member of a bucket meets the bucket's smallest and largest
+    member; components are formed.
  2. In buckets that still hold several components all pairs across components meet. Pairs inside a component are
     left out, as they can't change it. Texts of a large group that are alike but not near copies still are compared
     each with each inside the join.
@@ -16,7 +18,7 @@ Defined results: texts under `words` words are one shingle; null, empty and blan
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -70,16 +72,18 @@ def _short(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     return (batch.slice(i, rows) for batch in batches for i in range(0, batch.num_rows, rows))
 
 
-def sketches(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """rows: (doc_id, h, body). (doc_id, h, sid, n, bands): the shingle set's name and size, and its band keys."""
+def sketches(rows: DataFrame, mark: Callable[[bytes | None], int], words: int = WORDS) -> DataFrame:
+    """rows: (doc_id, h, body). (doc_id, h, fp, sid, n, bands): the text's mark, its shingle set's name and size, and its
+    band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _short(batches):
-            sets = [shingles(t.as_py(), words) for t in batch["body"]]
-            made = [pa.array(map(_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(_bands, sets), pa.list_(pa.int64()))]
-            yield pa.record_batch([batch["doc_id"], batch["h"], *made], ["doc_id", "h", "sid", "n", "bands"])
+            texts = batch["body"].to_pylist()
+            sets = [shingles(t, words) for t in texts]
+            made = [pa.array(map(mark, texts), pa.int64()), pa.array(map(_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(_bands, sets), pa.list_(pa.int64()))]
+            yield pa.record_batch([batch["doc_id"], batch["h"], *made], ["doc_id", "h", "fp", "sid", "n", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, sid long, n long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, fp long, sid long, n long, bands array<long>")
 
 
 def _similarity(a: str, b: str) -> Column:
@@ -93,10 +97,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(_similarity("su", "sv") >= least).select("u", "v")
 
 
-def smallest_rows(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+def smallest_rows(docs: DataFrame, mark: Callable[[bytes | None], int], propose: Callable[[DataFrame], DataFrame], words: int = WORDS, least: float = LEAST) -> DataFrame:
     """docs: (doc_id, h, body), h a hash of the row's text. (doc_id, h, rows): the smallest row of each component of
-    near copies and how often it stands in the table; components without any doc_id have none."""
-    rows = written(sketches(docs, words), "sketches")
+    near copies and how often it stands in the table; components without any doc_id have none.
+
+    mark: the fingerprint of a text. propose: from the distinct (sid, fp) the pairs (u, v) of sets to be verified.
+    """
+    rows = written(sketches(docs, mark, words), "sketches")
     each = rows.groupBy("sid", "doc_id", "h").agg(F.count("*").alias("rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h", "rows")).alias("first")
     sets = written(each.groupBy("sid").agg(first), "sets")
@@ -105,7 +112,8 @@ def smallest_rows(docs: DataFrame, words: int = WORDS, least: float = LEAST) ->
     buckets = keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
     members = written(keys.join(buckets.hint("merge"), "key"), "members")  # a join, as a large bucket can be split in it
 
-    asked = members.select("sid").distinct().join(sets, "sid").select(F.col("first.h").alias("h"), F.col("first.doc_id").alias("d"))
+    proposed = written(propose(rows.select("sid", "fp").distinct()), "proposed")
+    asked = members.select("sid").unionByName(proposed.select(F.explode(F.array("u", "v")).alias("sid"))).distinct().join(sets, "sid").select(F.col("first.h").alias("h"), F.col("first.doc_id").alias("d"))
     texts = docs.join(asked.hint("merge"), (docs.h == asked.h) & docs.doc_id.eqNullSafe(asked.d), "left_semi").select("body")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +123,7 @@ def smallest_rows(docs: DataFrame, words: int = WORDS, least: float = LEAST) ->
 
     whole = written(texts.mapInArrow(again, "sid long, s array<long>").dropDuplicates(["sid"]), "whole")
     ends = members.where("sid <> lo").select(F.col("sid").alias("u"), F.col("lo").alias("v"))
-    ends = ends.unionByName(members.where("sid <> hi").select(F.col("hi").alias("u"), F.col("sid").alias("v"))).distinct()
+    ends = ends.unionByName(members.where("sid <> hi").select(F.col("hi").alias("u"), F.col("sid").alias("v"))).unionByName(proposed).distinct()
     links = written(_verified(ends, whole, least), "links")
     now = components(links)
     inner = members.where("sid <> lo AND sid <> hi")  # both ends have met all others of their bucket

@@ -132,18 +132,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def proposed(prints: DataFrame) -> DataFrame:
+    """(u, v): pairs of sets within RADIUS bits, by the links above. prints: distinct (sid, fp).
+
+    Of the sets with one fingerprint each meets the smallest, and of linked fingerprints the smallest sets meet.
+    """
+    first = written(prints.groupBy("fp").agg(F.min("sid").alias("least")), "firsts")
+    same = prints.join(first.hint("merge"), "fp").select(F.col("sid").alias("u"), F.col("least").alias("v"))
+    a, b = (first.select(F.col("fp").alias(fp), F.col("least").alias(sid)).hint("merge") for fp, sid in (("u", "x"), ("v", "y")))
+    near = links(first.select("fp")).join(a, "u").join(b, "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    return same.unionByName(near).where("u <> v").distinct()
+
+
 def keep_one(docs: DataFrame, words: int = jaccard.WORDS, least: float = jaccard.LEAST) -> DataFrame:
     """One document of each component of near copies stays: the one with the smallest doc_id, its first row if it repeats.
 
-    Near copies share at least `least` of their shingles of `words` words, the contract of near-duplicate stages; the 2
-    bits over 3 words above are that of the op6 query. Documents without a doc_id stay, as no row can be named for them.
+    Near copies share at least `least` of their shingles of `words` words, the contract of near-duplicate stages. Texts
+    within 2 bits by the fingerprints and pivot tables above are proposed, then those of MinHash bands, as most near
+    copies differ in more bits; whole sets decide on both. Documents without a doc_id stay, as no row can be named for them.
     """
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]  # any column name may clash with ours
     rows = docs.toDF(*plain).withColumn("h", F.xxhash64(plain[names.index("text")]))
     key = plain[names.index("doc_id")]
     texts = rows.select(F.col(key).cast("long").alias("doc_id"), "h", F.col(plain[names.index("text")]).cast("binary").alias("body"))
-    kept = written(jaccard.smallest_rows(texts, words, least).withColumnRenamed("doc_id", key), "kept")
+    kept = written(jaccard.smallest_rows(texts, fingerprint, proposed, words, least).withColumnRenamed("doc_id", key), "kept")
     once, repeated = kept.where("rows = 1").select(key, "h"), kept.where("rows > 1").select(key, "h")
     rest = rows.join(repeated, [key, "h"], "left_semi").dropDuplicates([key, "h"])
     # as large as the table: never broadcast

@@ -57,3 +57,25 @@ def test_a_repeated_doc_id_keeps_a_row_of_each_component(spark):
     a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey")
     kept = simhash.keep_one(spark.createDataFrame([(1, a), (1, b), (2, b), (0, c), (1, c), (3, a), (0, c)], SCHEMA))
     assert sorted(tuple(r) for r in kept.collect()) == [(0, c), (1, a), (1, b)]
+
+
+def test_the_stage_proposes_by_simhash(spark, monkeypatch):
+    """Fingerprints and their pivot tables make pairs of the stage, each within the radius and verified."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    asked, links = [], simhash.links
+
+    def seen(prints):
+        asked.append({r.fp for r in prints.collect()})
+        return links(prints)
+
+    monkeypatch.setattr(simhash, "links", seen)
+    texts = [tuple(r) for r in docs.collect()]
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == slow_kept(texts)
+    assert asked == [{simhash.fingerprint(t.encode() if t else None) for _, t in texts}]
+
+
+def test_proposed_pairs_against_brute_force(spark):
+    base = 0x0123456789ABCDEF
+    prints = [(10, base), (11, base), (12, base), (20, base ^ 0b11), (21, base ^ 0b11), (30, base ^ 0b1111), (40, base ^ 0b11111111), (41, -1)]
+    got = {tuple(sorted(r)) for r in simhash.proposed(spark.createDataFrame(prints, "sid long, fp long")).collect()}
+    assert got == {(10, 11), (10, 12), (20, 21), (10, 20), (20, 30)}
