@@ -233,12 +233,12 @@ class Attention:
         np.clip(s, -_MOST, _MOST, out=s)
         s += self._bias(0)
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
+        s /= np.matmul(s, np.ones((WINDOW, 1), np.float32))
         a = np.matmul(s, v).reshape(-1, DIM)
         z = np.take(self.base, at.ravel(), axis=0)
         z += a @ self.p["w"]
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= z @ np.ones((CLASSES, 1), np.float32)
         real = np.flatnonzero(y.ravel() >= 0)
         of = self.classes[y.ravel()[real]]
         loss = float(-np.log(np.maximum(z[real, of], 1e-30)).mean())

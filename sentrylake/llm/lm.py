@@ -9,7 +9,7 @@ Passes over the training documents, all of them and whole:
  1. Their texts become ids, which are written down, and counts of words (under 95-bit hashes) and ids, by grouped sums.
  2. Over the ids: the pair table, of a fixed size, which gives the classes and embeddings.
  3. Training of the attention in ROUNDS rounds: the tasks' parameters after gradient steps through their share are
-    averaged. Every EVERY-th window teaches, so what is learnt from grows with the corpus.
+    averaged. Every window of every training document teaches, once.
 Last pass (all documents): each is scored whole, in overlapping windows. Counts of at most FREQUENT words are
 broadcast; every other word is looked up by a join, so no word is dropped and no broadcast grows.
 
@@ -40,7 +40,6 @@ from .toxicity import remainder
 
 ROUNDS, RATE = 4, 0.004  # of training
 BATCH, BLOCK = 64, 8_192  # windows of a step, and windows that are shuffled together
-EVERY = 4  # every fourth training window teaches, wherever it stands in the corpus
 FREQUENT = 400_000
 WORDS = 500_000  # words in a worker's memo
 PIECE = 1 << 18  # ids of a long document scored at once
@@ -227,12 +226,13 @@ def pair_counts(pieces: DataFrame, layout: Layout, end: int) -> np.ndarray:
     return out
 
 
-def train(model: Attention, pieces: DataFrame, end: int) -> None:
-    """Gradient steps on every training document, in ROUNDS rounds.
+def train(model: Attention, pieces: DataFrame, end: int) -> int:
+    """Gradient steps on every window of every training document, in ROUNDS rounds. Returns the number of windows.
 
     A round has its share of the pieces. Each task steps through its own from the round's parameters; the tasks'
     results are averaged by their windows, as grouped sums, and are the next round's parameters.
     """
+    taught = 0
     for step in range(ROUNDS):
         sent = pieces.sparkSession.sparkContext.broadcast(model.for_training())
         rate = RATE * (1 - step / ROUNDS)
@@ -250,8 +250,7 @@ def train(model: Attention, pieces: DataFrame, end: int) -> None:
                 return len(x)
 
             for flat, head in _pieces(batches):
-                x, y = training_windows(flat, end, own.begin, head)
-                held.append((x[(head + done) % EVERY :: EVERY], y[(head + done) % EVERY :: EVERY]))
+                held.append(training_windows(flat, end, own.begin, head))
                 if sum(len(x) for x, _ in held) >= BLOCK:
                     done += steps()
                     held = []
@@ -261,12 +260,14 @@ def train(model: Attention, pieces: DataFrame, end: int) -> None:
                 x = own.flat()
                 yield pa.record_batch([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x * done), pa.array(np.full(len(x), done, np.int64))], ["at", "x", "n"])
 
-        sums = pieces.where(F.col("b") == step).select("a", "n", "ids").mapInArrow(learn, "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x"))
+        sums = pieces.where(F.col("b") == step).select("a", "n", "ids").mapInArrow(learn, "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
         found = sums.toArrow()  # a row for each parameter
         if found.num_rows:
             mean = np.zeros(found.num_rows)
             mean[found["at"].to_numpy()] = found["x"].to_numpy()
             model.set_flat(mean)
+            taught += found["n"][0].as_py()
+    return taught
 
 
 def fit(corpus: DataFrame, counts: DataFrame, vocabulary: int, end: int) -> Attention:

@@ -14,7 +14,7 @@ from test_tokens import check_packing
 
 import corpus_pipeline
 from sentrylake.llm import ann, attention, lm, queries, toxicity
-from sentrylake.llm.common import tokenizer_path
+from sentrylake.llm.common import tokenizer_path, written
 
 # Neighbours
 
@@ -136,6 +136,16 @@ def test_op10_is_better_than_the_base_on_held_out_texts(spark):
     assert sum(r.score > r.base_score for r in rows) > 0.8 * len(rows)
 
 
+def test_every_window_of_every_training_text_teaches(spark):
+    corpus = lm.read_corpus(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("CAST(text AS BINARY) AS body"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), 50_256, 50_257)
+    pieces = written(corpus.where(f"kind = {lm.IDS}"), "pieces")
+    flat = [(np.frombuffer(r.ids, np.uint16).astype(np.int32), r.a) for r in pieces.collect()]
+    unigram = np.bincount(np.concatenate([f for f, _ in flat]), minlength=50_257)
+    layout = attention.Layout(unigram)
+    model = attention.Attention(layout, unigram, np.zeros((layout.n_rows, layout.width), np.float32))
+    assert lm.train(model, pieces, 50_256) == sum(len(attention.training_windows(f, 50_256, layout.begin, head)[0]) for f, head in flat)
+
+
 def test_language_model_odd_rows(spark, clashing, no_docs):
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     rows = lm.score(clashing, path, 50_256, 50_257).collect()
