@@ -14,20 +14,22 @@ import os
 import re
 import sys
 from array import array
-from itertools import islice
+from itertools import compress, islice, repeat
+from operator import is_
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
 
 from tokenizers import Tokenizer  # noqa: E402
 
-_CHUNK = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+_CHUNK = re.compile(rb"\s*\S+|\s+")  # in bytes: x20 and x09-x0D
 #: 1C-1F, and U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000 as UTF-8
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: What each of these begins with, to be looked for first.
 _RARE = (b"\x1c", b"\x1d", b"\x1e", b"\x1f"), (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: one line feed or none, one space or none, letters (A-Z, a-z, U+00C0-00FF without the two signs), ASCII punctuation without the apostrophe
 _PLAIN = re.compile(rb"(\n?)(\x20?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
-KEEP, _LONGEST = 500_000, 64  # chunks in a worker's memo, about 160 bytes each; longest chunk kept
+_PUNCTUATION = bytes(sorted({*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)} - {0x27}))
+KEEP, _LONGEST = 1_000_000, 64  # chunks in a worker's memo, about 160 bytes each; longest chunk kept
 
 
 def _byte_letters() -> dict[int, str]:
@@ -73,31 +75,48 @@ class Encoder:
     def _whole(self, chunks: list[bytes], by: Tokenizer | None = None) -> list[bytes]:
         return self._packed((by or self.tokenizer).encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False))
 
+    def _shown(self, piece: bytes) -> str:
+        """A piece as the model's merges have it."""
+        if piece.isascii():  # printable as it is, but for a space or line feed before it
+            text = piece.decode("ascii")
+            return text if text.isalpha() else text.translate(self.letters)
+        if self.words:
+            piece = piece.decode().lower().encode()
+        return piece.decode("latin-1").translate(self.letters)
+
     def _new(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Codes of distinct chunks that the memo lacks."""
         out: dict[bytes, bytes] = {}
-        parts: dict[bytes, tuple[bytes, ...]] = {}
-        pieces: dict[bytes, bytes] = {b"": b""}
+        pieces: dict[bytes, bytes | None] = {b"": b""}
+        parts: list[tuple] = []
         fresh, odd = [], []
+        known, blank = self.memo.get, 0 if self.words else 1  # a chunk of the byte-level tokenizer begins with a space, mostly
         for c in chunks:
-            m = _PLAIN.fullmatch(c)
-            if m is None or c[:2] == b"\n ":
-                odd.append(c)
-                continue
-            parts[c] = own = m.groups()
+            core = c.rstrip(_PUNCTUATION)
+            if core[blank:].isalpha() and (self.words or core[0] == 0x20):  # what _PLAIN finds, for ASCII letters
+                if core is c:
+                    if c not in pieces:
+                        pieces[c] = None
+                        fresh.append(c)
+                    continue
+                own = core, c[len(core) :]
+            else:
+                m = _PLAIN.fullmatch(c)
+                if m is None or c[:2] == b"\n ":
+                    odd.append(c)
+                    continue
+                own = m.groups()
+            parts.append((c, own))
             for p in own:
                 if p not in pieces:
-                    pieces[p] = self.memo.get(p)
+                    pieces[p] = known(p)
                     if pieces[p] is None:
                         fresh.append(p)
         if fresh:
-            texts = [p.decode().lower().encode() for p in fresh] if self.words else fresh
-            found = self.model.encode_batch_fast([t.decode("latin-1").translate(self.letters) for t in texts], add_special_tokens=False)
-            for p, code in zip(fresh, self._packed(found), strict=True):
-                pieces[p] = code
-                if len(p) <= _LONGEST:
-                    out[p] = code
-        for c, own in parts.items():
+            found = self.model.encode_batch_fast(list(map(self._shown, fresh)), add_special_tokens=False)
+            pieces.update(zip(fresh, self._packed(found), strict=True))
+            out.update((p, pieces[p]) for p in fresh if len(p) <= _LONGEST or p in chunks)
+        for c, own in parts:
             out[c] = b"".join(map(pieces.__getitem__, own))
         if odd:
             out.update(zip(odd, self._whole(odd), strict=True))
@@ -118,12 +137,17 @@ class Encoder:
     def join(self, chunks: list[bytes]) -> bytes:
         """The ids of chunks (lower-case where `words`) and the end id."""
         memo = self.memo
-        new = set(chunks).difference(memo)
-        if not new:
-            return b"".join(map(memo.__getitem__, chunks)) + self.end
-        memo.update(self._new(new))
-        out = b"".join(map(memo.__getitem__, chunks)) + self.end
-        for c in new:
+        codes = list(map(memo.get, chunks))
+        if None not in codes:
+            return b"".join(codes) + self.end
+        missing = list(compress(range(len(codes)), map(is_, codes, repeat(None))))
+        words = [chunks[i] for i in missing]
+        found = self._new(set(words))
+        for i, c in zip(missing, words, strict=True):
+            codes[i] = found[c]
+        out = b"".join(codes) + self.end
+        memo.update(found)
+        for c in found:
             if len(c) > _LONGEST:
                 del memo[c]
         if len(memo) > self.keep:  # the older half holds the common ones
