@@ -14,6 +14,7 @@ import os
 import re
 import sys
 from array import array
+from functools import cached_property
 from itertools import compress, islice, repeat
 from operator import is_
 
@@ -50,9 +51,9 @@ class Encoder:
     """Whole texts to ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, end: int, words: bool = False, keep: int = KEEP):
-        self.plain = Tokenizer.from_file(path)  # as the library has it
-        self.added = sorted(t.content.encode() for t in self.plain.get_added_tokens_decoder().values())
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = sorted(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.tokenizer.encode_special_tokens = True  # for texts without such strings, as lower case may bring one forth
         self.model = Tokenizer(self.tokenizer.model)
         self.letters = _byte_letters()
@@ -62,6 +63,11 @@ class Encoder:
         self.words = words  # the tokenizer drops white space and case
         self.split = bytes.split if words else _CHUNK.findall
 
+    @cached_property
+    def plain(self) -> Tokenizer:
+        """As the library has it; loaded for the first text that holds an added token's string, as few do."""
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _packed(found: list) -> list[bytes]:
         out = []

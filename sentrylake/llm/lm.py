@@ -41,7 +41,7 @@ from .toxicity import remainder
 ROUNDS, RATE = 4, 0.004  # of training
 BATCH, BLOCK = 64, 8_192  # windows of a step, and windows that are shuffled together
 FREQUENT = 400_000
-WORDS = 500_000  # words in a worker's memo
+READ, SCORE = 500_000, 250_000  # words in a worker's memo, while it reads and while it scores, with the model beside it
 PIECE = 1 << 18  # ids of a long document scored at once
 GROUP = 100_000  # words of documents that are looked up and scored together
 WORD, ID, END, IDS = range(4)
@@ -67,9 +67,9 @@ class Words(dict):
     One lookup for each occurrence; all else is gathered from arrays.
     """
 
-    def __init__(self, encode, end: int, logs=None, end_log: float = 0.0):
+    def __init__(self, encode, end: int, keep: int, logs=None, end_log: float = 0.0):
         super().__init__()
-        self.encode, self.logs = encode, logs
+        self.encode, self.keep, self.logs = encode, keep, logs
         self.new: list[bytes] = []
         self.size = np.ones(1, np.int64)  # ids of each word
         self.start = np.zeros(1, np.int64)
@@ -106,7 +106,7 @@ class Words(dict):
 
     def forget(self) -> None:
         """Keep the older half of a full memo: it holds the common words."""
-        n = WORDS // 2
+        n = self.keep // 2
         kept = list(islice(self.items(), n))
         self.clear()
         self.update(kept)
@@ -123,11 +123,11 @@ def _encode(path: str):
 _OPEN: dict[str, Words] = {}
 
 
-def _words(run: str, path: str, end: int, logs=None, end_log: float = 0.0) -> Words:
+def _words(run: str, path: str, end: int, keep: int, logs=None, end_log: float = 0.0) -> Words:
     """One table for each Python worker and run of the operator, so that it outlives a task."""
     if run not in _OPEN:
         _OPEN.clear()
-        _OPEN[run] = Words(_encode(path), end, logs, end_log)
+        _OPEN[run] = Words(_encode(path), end, keep, logs, end_log)
     return _OPEN[run]
 
 
@@ -163,7 +163,7 @@ def read_corpus(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFr
         return pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64)), pa.nulls(len(a), pa.binary())], names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(this_run, path, end)
+        words = _words(this_run, path, end, READ)
         seen = np.zeros(len(words), np.int64)
         ids, n_docs = np.zeros(vocabulary, np.int64), 0
 
@@ -184,7 +184,7 @@ def read_corpus(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFr
                     raw = flat[i : i + PIECE].astype(kind_of).tobytes()
                     place = [pa.array([x], t) for x, t in ((IDS, pa.int8()), (int(flat[i - 1]) if i else end, pa.int64()), (zlib.crc32(raw) % ROUNDS, pa.int32()), (len(raw) // kind_of().itemsize, pa.int64()))]
                     yield pa.record_batch([*place, pa.array([raw], pa.binary())], names)
-                if len(words) > WORDS:
+                if len(words) > words.keep:
                     yield hand_on()
                     words.forget()
                     seen = np.zeros(len(words), np.int64)
@@ -358,7 +358,7 @@ def score(docs: DataFrame, path: str, end: int, vocabulary: int, fold: int = 10,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, known = sent.value
-        words, part, seq = _words(this_run, path, end, known.logs, end_log), TaskContext.get().partitionId(), 0
+        words, part, seq = _words(this_run, path, end, SCORE, known.logs, end_log), TaskContext.get().partitionId(), 0
         names = ["n_tokens", "known", "base", "score", "a", "b"]
 
         def made(group: list[list]) -> list[pa.Array]:
@@ -373,7 +373,7 @@ def score(docs: DataFrame, path: str, end: int, vocabulary: int, fold: int = 10,
             offsets = pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32))
             at = numbers[rare]
             out = [pa.array(lengths), pa.array(lengths - few - int(ends == 0)), pa.array(np.add.reduceat(logs, first)), pa.array(_text_scores(net, ids)), pa.ListArray.from_arrays(offsets, pa.array(words.a[at])), pa.ListArray.from_arrays(offsets, pa.array(words.b[at]))]
-            if len(words) > WORDS:
+            if len(words) > words.keep:
                 words.forget()
             return out
 

@@ -30,7 +30,7 @@ from .common import written
 from .encode import encoder
 
 SIZE, SMALL, GROUPS = 1024, 400, 64
-MEMO = 1_000_000  # chunks that a worker's encoder remembers, some 160 MB
+MEMO = 500_000  # chunks that a worker's encoder remembers, some 80 MB: two workers share an executor with a JVM at its full heap
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
