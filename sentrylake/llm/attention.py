@@ -19,6 +19,8 @@ DIM, EMBED, CLASSES, TOP = 16, 48, 64, 4_096
 HUBS = 256  # the most frequent ids, whose places before and after an id tell its class
 KAPPA = 20.0
 _LOW, _MOST = np.float32(-1e9), np.float32(60)  # of a place that can't be seen; of a product of query and key
+_GAP = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]  # from each place back to each
+_FAR = np.maximum(_GAP, 0)
 
 
 def windows(docs: list[np.ndarray], begin: int, heads: list[np.ndarray | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,10 +183,9 @@ class Attention:
         return out
 
     def _bias(self, first: int) -> np.ndarray:
-        i, j = np.arange(first, WINDOW)[:, None], np.arange(WINDOW)[None, :]
-        return np.where(j <= i, self.p["r"][np.maximum(i - j, 0)], _LOW).astype(np.float32)
+        return np.where(_GAP[first:] >= 0, self.p["r"][_FAR[first:]], _LOW).astype(np.float32)
 
-    def log_probabilities(self, ids: np.ndarray, target: np.ndarray, first: np.ndarray, batch: int = 128, attend: bool = True) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, target: np.ndarray, first: np.ndarray, batch: int = 256, attend: bool = True) -> np.ndarray:
         """Natural logarithm of the probability of every target, as windows() lays them out; 0 where there is none.
 
         attend: False leaves the attention out.
@@ -226,33 +227,44 @@ class Attention:
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Gradients of the mean cross-entropy of the next id's class over training windows, and that mean."""
-        n, at = len(x), self.rows[x]
-        h = np.take(self.embedded, at.ravel(), axis=0)
-        q, k, v = (np.ascontiguousarray(part).reshape(n, WINDOW, DIM) for part in np.split(h @ self.p["qkv"], 3, axis=1))
+        n, at, target = len(x), self.rows[x.ravel()], y.ravel()
+        met = np.zeros(len(self.embedded), bool)
+        met[at] = True
+        different, place = np.flatnonzero(met), np.cumsum(met)
+        qkv = np.take(self.embedded[different] @ self.p["qkv"], place[at] - 1, axis=0).reshape(n, WINDOW, 3 * DIM)
+        q, k, v = qkv[:, :, :DIM], qkv[:, :, DIM : 2 * DIM], qkv[:, :, 2 * DIM :]
         s = np.matmul(q, k.transpose(0, 2, 1))
         np.clip(s, -_MOST, _MOST, out=s)
         s += self._bias(0)
-        np.exp(s, out=s)
-        s /= np.matmul(s, np.ones((WINDOW, 1), np.float32))
+        np.exp(s, out=s)  # weights before they are divided by their sum, which the narrower arrays below are instead
+        over = 1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32))
         a = np.matmul(s, v).reshape(-1, DIM)
-        z = np.take(self.base, at.ravel(), axis=0)
-        z += a @ self.p["w"]
+        a *= over[:, None]
+        z = a @ self.p["w"]
+        z += np.take(self.base, at, axis=0)
         np.exp(z, out=z)
-        z /= z @ np.ones((CLASSES, 1), np.float32)
-        real = np.flatnonzero(y.ravel() >= 0)
-        of = self.classes[y.ravel()[real]]
-        loss = float(-np.log(np.maximum(z[real, of], 1e-30)).mean())
-        z[real, of] -= 1
-        if len(real) < len(z):
-            z[y.ravel() < 0] = 0
-        z *= np.float32(1 / max(1, len(real)))
-        da = (z @ self.p["w"].T).reshape(n, WINDOW, DIM)
+        real = target >= 0
+        unit = np.float32(1 / max(1, np.count_nonzero(real)))
+        own = np.arange(0, z.size, CLASSES) + self.classes[target]
+        scale = 1 / (z @ np.ones(CLASSES, np.float32))
+        share = real * unit
+        loss = -float(np.log(np.maximum(z.ravel()[own] * scale, 1e-30)) @ share)
+        z *= (scale * share)[:, None]
+        z.ravel()[own] -= share
+        da = z @ self.p["w"].T
+        dot = np.einsum("ij,ij->i", da, a) * over
+        da *= over[:, None]
+        da = da.reshape(n, WINDOW, DIM)
         ds = np.matmul(da, v.transpose(0, 2, 1))
-        ds -= np.einsum("bij,bij->bi", ds, s)[:, :, None]
+        ds -= dot.reshape(n, WINDOW, 1)
         ds *= s
-        back = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), da)], axis=2)
-        gap = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        by_gap = np.bincount(np.maximum(gap, 0).ravel(), weights=np.where(gap >= 0, ds.sum(0), 0).ravel(), minlength=WINDOW)
+        back = np.empty((n, WINDOW, 3 * DIM), np.float32)
+        np.matmul(ds, k, out=back[:, :, :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, DIM : 2 * DIM])
+        np.matmul(s.transpose(0, 2, 1), da, out=back[:, :, 2 * DIM :])
+        # ds is 0 where no place is seen
+        by_gap = np.bincount(_FAR.ravel(), weights=np.ones(n, np.float32) @ ds.reshape(n, -1), minlength=WINDOW)
+        h = np.take(self.embedded, at, axis=0)
         return {"w": a.T @ z, "r": by_gap.astype(np.float32), "qkv": h.T @ back.reshape(-1, 3 * DIM)}, loss
 
 

@@ -5,13 +5,14 @@ Two scores of a text's lower-case words and one end:
  score  the causal self-attention model of attention.py over subword ids: byte-pair merges of a public vocabulary
         within each word and the space before it.
 
-Passes over the training documents, all of them and whole:
- 1. Their texts become ids, which are written down, and counts of words (under 95-bit hashes) and ids, by grouped sums.
- 2. Over the ids: the pair table, of a fixed size, which gives the classes and embeddings.
+Passes:
+ 1. All texts, whole, become groups of documents that are written down: their ids, the hashes (95 bits) of the group's
+    words, and which word stands where. Of the training documents, words and ids are counted by grouped sums.
+ 2. Over the training documents' ids, all of them: the pair table, of a fixed size, which gives the classes and embeddings.
  3. Training of the attention in ROUNDS rounds: the tasks' parameters after gradient steps through their share are
     averaged. Every window of every training document teaches, once.
-Last pass (all documents): each is scored whole, in overlapping windows. Counts of at most FREQUENT words are
-broadcast; every other word is looked up by a join, so no word is dropped and no broadcast grows.
+ 4. Over all groups: each document is scored whole, in overlapping windows; no text is read or split again. Counts of at
+    most FREQUENT words are broadcast; every other word is looked up by a join, so no word is dropped and no broadcast grows.
 
 Defined results: null and empty texts are one end; without training documents every count is 0; repeated rows give
 repeated results; a null doc_id belongs to the training documents.
@@ -28,6 +29,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark import TaskContext
@@ -35,16 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attention import SCORED, Adam, Attention, Layout, previous, training_windows, windows
-from .common import written
+from .common import remove, written
 from .toxicity import remainder
 
 ROUNDS, RATE = 4, 0.004  # of training
 BATCH, BLOCK = 64, 8_192  # windows of a step, and windows that are shuffled together
 FREQUENT = 400_000
-READ, SCORE = 500_000, 250_000  # words in a worker's memo, while it reads and while it scores, with the model beside it
-PIECE = 1 << 18  # ids of a long document scored at once
-GROUP = 100_000  # words of documents that are looked up and scored together
-WORD, ID, END, IDS = range(4)
+READ, SCORE = 500_000, 250_000  # words in a worker's memo: while it reads, and with a model beside it
+PIECE = 1 << 18  # ids of a long document, or of a group, that are taught or scored at once
+GROUP = 1_200_000  # bytes of the documents of a group, if it has several
+WORD, ID, END, IDS, HELD = range(5)  # IDS and HELD: groups of training and of held-out documents
+_COUNT = "kind byte, a long, b int, n long, ids binary"
+_GROUP = "doc_ids array<long>, sizes binary, numbers binary, hashes binary"
 
 
 def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +90,13 @@ class Words(dict):
         """Numbers of all words of documents, each closed by None."""
         out = np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.int64, sum(map(len, docs)))
         if self.new:
-            found = [self.encode(b" " + w) for w in self.new]
-            size = np.fromiter(map(len, found), np.int64, len(found))
+            flat, size = self.encode(self.new)
             a, b = _hashes(self.new)
-            n = len(self) - len(found)
+            n = len(self) - len(size)
             self.start = _put(self.start, n, self.used + np.cumsum(size) - size)
             self.size, self.a, self.b = _put(self.size, n, size), _put(self.a, n, a), _put(self.b, n, b)
-            self.flat = _put(self.flat, self.used, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())))
-            self.used += int(size.sum())
+            self.flat = _put(self.flat, self.used, flat)
+            self.used += len(flat)
             if self.logs is not None:
                 self.log = _put(self.log, n, self.logs(a, b))
             self.new = []
@@ -114,53 +117,84 @@ class Words(dict):
 
 
 def _encode(path: str):
-    """Byte-pair merges of a public vocabulary on one word."""
+    """Byte-pair merges of a public vocabulary within each of several words: (ids of all, how many each has)."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    width = np.zeros(max(ranks.values()) + 1, np.int64)
+    width[list(ranks.values())] = list(map(len, ranks))
+    code = tiktoken.Encoding("words", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        try:
+            text = (b" " + b" ".join(words)).decode()
+        except UnicodeDecodeError:
+            found = [code._encode_single_piece(b" " + w) for w in words]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
+        flat = np.array(code._core_bpe.encode_ordinary(text), np.int32)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # in bytes
+        return flat, np.diff(np.searchsorted(np.cumsum(width[flat]), ends) + 1, prepend=0)
+
+    return encode
 
 
 _OPEN: dict[str, Words] = {}
 
 
-def _words(run: str, path: str, end: int, keep: int, logs=None, end_log: float = 0.0) -> Words:
+def _words(run: str, path: str, end: int, keep: int) -> Words:
     """One table for each Python worker and run of the operator, so that it outlives a task."""
     if run not in _OPEN:
         _OPEN.clear()
-        _OPEN[run] = Words(_encode(path), end, keep, logs, end_log)
+        _OPEN[run] = Words(_encode(path), end, keep)
     return _OPEN[run]
 
 
-def _split(text: bytes | None) -> list:
-    words: list = (text or b"").lower().split()
-    words.append(None)
-    return words
-
-
-def _groups(docs: Iterator[list]) -> Iterator[list[list]]:
-    """Documents in groups of about GROUP words."""
-    group, size = [], 0
-    for words in docs:
-        group.append(words)
-        size += len(words)
-        if size >= GROUP:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _groups(texts: pa.Array) -> Iterator[slice]:
+    """Places of consecutive texts of about GROUP bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _numbered(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different lower-case words of texts; of each place the number of its word from 1, 0 for an end; places of each text."""
+    # A-Z only; words are runs of anything but x20 and x09-x0D; bytes that aren't UTF-8 stay
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())))
+    flat = parts.flatten().view(pa.binary())
+    lengths = np.diff(parts.offsets.to_numpy()).astype(np.int64)
+    some = pc.binary_length(flat).to_numpy() > 0
+    if not some.all():  # white space at either end
+        before = np.concatenate([[0], np.cumsum(some)])
+        stop = np.cumsum(lengths)
+        lengths = before[stop] - before[stop - lengths]
+        flat = flat.filter(pa.array(some))
+    coded = flat.dictionary_encode()
+    out = np.zeros(len(flat) + len(lengths), np.int32)
+    lengths += 1
+    word = np.ones(len(out), bool)
+    word[np.cumsum(lengths) - 1] = False
+    out[word] = coded.indices.to_numpy()
+    out[word] += 1
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), out, lengths
 
 
 def read_corpus(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFrame:
-    """One pass over the texts of docs (body): (kind, a, b, n, ids).
+    """One pass over the texts of docs (body; doc_id and held if it has them): (kind, a, b, n, ids, and of a group more).
 
-    Counts of word hashes, of ids and of ends in each task; and the ids themselves, two or four bytes each, in rows of
-    at most PIECE ids: a the id before them, b the round of training that they belong to.
+    Counts of word hashes, of ids and of ends in each task, without the held-out documents; and groups of documents
+    with their ids, two or four bytes each: a the id before them, b the round of training that they belong to, sizes
+    the words (ends with them) and the ids of each document, numbers and hashes as _numbered has them.
     """
     this_run, kind_of = uuid.uuid4().hex, np.uint16 if vocabulary < 1 << 16 else np.uint32
-    names = ["kind", "a", "b", "n", "ids"]
+    more = {"doc_ids": pa.list_(pa.int64()), "sizes": pa.binary(), "numbers": pa.binary(), "hashes": pa.binary()}
+    names = ["kind", "a", "b", "n", "ids", *more]
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64)), pa.nulls(len(a), pa.binary())], names)
+        none = [pa.nulls(len(a), t) for t in (pa.binary(), *more.values())]
+        return pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64)), *none], names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(this_run, path, end, READ)
@@ -171,19 +205,25 @@ def read_corpus(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFr
             at = np.flatnonzero(seen[1:]) + 1
             return rows(WORD, words.a[at], words.b[at], seen[at])
 
-        for batch in batches:
-            for group in _groups(_split(t.as_py()) for t in batch["body"]):
-                numbers = words.numbers(group)
+        for batch, held in ((b.filter(b["held"] if h else pc.invert(b["held"])), h) for b in batches for h in (False, True)):
+            for own in _groups(batch["body"]):
+                doc_ids, texts = (batch[c].slice(own.start, own.stop - own.start) for c in ("doc_id", "body"))
+                distinct, places, lengths = _numbered(texts)
+                known = words.numbers([distinct])
                 if len(seen) < len(words):
                     seen = np.concatenate([seen, np.zeros(len(words) - len(seen) + 10_000, np.int64)])
-                np.add.at(seen, numbers, 1)
+                numbers = np.concatenate([[0], known])[places]
                 flat = words.ids(numbers)
-                ids += np.bincount(flat, minlength=vocabulary)
-                n_docs += len(group)
-                for i in range(0, len(flat), PIECE):
-                    raw = flat[i : i + PIECE].astype(kind_of).tobytes()
-                    place = [pa.array([x], t) for x, t in ((IDS, pa.int8()), (int(flat[i - 1]) if i else end, pa.int64()), (zlib.crc32(raw) % ROUNDS, pa.int32()), (len(raw) // kind_of().itemsize, pa.int64()))]
-                    yield pa.record_batch([*place, pa.array([raw], pa.binary())], names)
+                if not held:
+                    seen[known] += np.bincount(places, minlength=len(known) + 1)[1:]
+                    ids += np.bincount(flat, minlength=vocabulary)
+                    n_docs += len(texts)
+                raw = flat.astype(kind_of).tobytes()
+                sizes = np.concatenate([lengths, np.add.reduceat(words.size[numbers], np.cumsum(lengths) - lengths)])
+                short = places.astype(np.uint16) if len(known) < 1 << 16 else places
+                place = [pa.array([x], t) for x, t in ((HELD if held else IDS, pa.int8()), (end, pa.int64()), (zlib.crc32(raw) % ROUNDS, pa.int32()), (len(flat), pa.int64()))]
+                binary = [pa.array([x], pa.binary()) for x in (raw, sizes.tobytes(), short.tobytes(), words.a[known].tobytes() + words.b[known].tobytes())]
+                yield pa.record_batch([*place, binary[0], pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), doc_ids), *binary[1:]], names)
                 if len(words) > words.keep:
                     yield hand_on()
                     words.forget()
@@ -193,15 +233,23 @@ def read_corpus(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFr
         yield rows(ID, at, np.zeros(len(at)), ids[at])
         yield rows(END, np.zeros(1), np.zeros(1), np.array([n_docs]))
 
-    return docs.select("body").mapInArrow(read, "kind byte, a long, b int, n long, ids binary")
+    absent = {c: x for c, x in (("doc_id", F.lit(None).cast("long")), ("held", F.lit(False))) if c not in docs.columns}
+    return docs.withColumns(absent).select("doc_id", "body", "held").mapInArrow(read, f"{_COUNT}, {_GROUP}")
+
+
+def _unpacked(raw: pa.Scalar, n: int) -> np.ndarray:
+    """n unsigned numbers of two or four bytes."""
+    data = raw.as_buffer()
+    return np.frombuffer(data, f"<u{data.size // n}").astype(np.int32)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
-    """Ids and the one before them."""
+    """At most PIECE ids of a group and the one before them."""
     for batch in batches:
         for head, n, raw in zip(batch["a"].to_pylist(), batch["n"].to_pylist(), batch["ids"], strict=True):
-            data = raw.as_buffer()
-            yield np.frombuffer(data, f"<u{data.size // n}").astype(np.int32), head
+            flat = _unpacked(raw, n)
+            for i in range(0, n, PIECE):
+                yield flat[i : i + PIECE], int(flat[i - 1]) if i else head
 
 
 def pair_counts(pieces: DataFrame, layout: Layout, end: int) -> np.ndarray:
@@ -343,8 +391,8 @@ def score(docs: DataFrame, path: str, end: int, vocabulary: int, fold: int = 10,
     # a null doc_id is outside the fold
     held = F.when(F.col("doc_id").isNull(), False).otherwise(remainder(F.col("doc_id"), fold) == held_out)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).withColumn("held", held)
-    corpus = written(read_corpus(rows.where("NOT held"), path, end, vocabulary), "corpus")
-    counts = written(corpus.where(F.col("kind") != IDS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "counts")
+    corpus = written(read_corpus(rows, path, end, vocabulary), "corpus")
+    counts = written(corpus.where(F.col("kind") < IDS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "counts")
     model = fit(corpus, counts, vocabulary, end)
     frequent = Frequent(counts)
     facts = {r["kind"]: (r["n"], r["rows"]) for r in counts.where(F.col("kind").isin(WORD, END)).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
@@ -354,38 +402,32 @@ def score(docs: DataFrame, path: str, end: int, vocabulary: int, fold: int = 10,
     floor, end_log = math.log10(total + 0.1 * (distinct + 1)), math.log10(ends + 0.1)
     sent = spark.sparkContext.broadcast((model, frequent))
 
-    this_run = uuid.uuid4().hex
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, known = sent.value
-        words, part, seq = _words(this_run, path, end, SCORE, known.logs, end_log), TaskContext.get().partitionId(), 0
-        names = ["n_tokens", "known", "base", "score", "a", "b"]
-
-        def made(group: list[list]) -> list[pa.Array]:
-            """Columns of a group of documents."""
-            numbers = words.numbers(group)
-            lengths = np.fromiter(map(len, group), np.int64, len(group))
-            first = np.cumsum(lengths) - lengths
-            logs = words.log[numbers]
-            rare = logs == 0
-            few = np.add.reduceat(rare, first, dtype=np.int64)
-            ids = np.split(words.ids(numbers), np.cumsum(np.add.reduceat(words.size[numbers], first))[:-1])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32))
-            at = numbers[rare]
-            out = [pa.array(lengths), pa.array(lengths - few - int(ends == 0)), pa.array(np.add.reduceat(logs, first)), pa.array(_text_scores(net, ids)), pa.ListArray.from_arrays(offsets, pa.array(words.a[at])), pa.ListArray.from_arrays(offsets, pa.array(words.b[at]))]
-            if len(words) > words.keep:
-                words.forget()
-            return out
-
+        part, seq = TaskContext.get().partitionId(), 0
+        names = ["part", "seq", "doc_id", "held_out", "n_tokens", "known", "base", "score", "a", "b"]
         for batch in batches:
-            at = 0
-            for group in _groups(_split(t.as_py()) for t in batch["body"]):
-                n = len(group)
-                place = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), batch["doc_id"].slice(at, n), batch["held"].slice(at, n)]
-                yield pa.record_batch([*place, *made(group)], ["part", "seq", "doc_id", "held_out", *names])
-                at, seq = at + n, seq + n
-
-    scored = written(rows.mapInArrow(run, "part int, seq long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, a array<bigint>, b array<int>"), "scored")
+            for kind, total, raw, doc_ids, sizes, places, hashes in zip(*(batch[c] for c in ("kind", "n", "ids", "doc_ids", "sizes", "numbers", "hashes")), strict=True):
+                n, data = len(doc_ids.values), hashes.as_buffer()
+                lengths, spans = np.frombuffer(sizes.as_buffer(), np.int64).reshape(2, n)
+                first = np.cumsum(lengths) - lengths
+                numbers = _unpacked(places, int(lengths.sum()))
+                different = data.size // 12
+                a, b = np.frombuffer(data, np.int64, different), np.frombuffer(data, np.int32, different, 8 * different)
+                logs = np.concatenate([[end_log], known.logs(a, b)])[numbers]
+                rare = logs == 0
+                few = np.add.reduceat(rare, first, dtype=np.int64)
+                ids = np.split(_unpacked(raw, total.as_py()), np.cumsum(spans)[:-1])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32))
+                at = numbers[rare] - 1
+                place = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), doc_ids.values, pa.array(np.full(n, kind.as_py() == HELD))]
+                found = [pa.array(lengths), pa.array(lengths - few - int(ends == 0)), pa.array(np.add.reduceat(logs, first)), pa.array(_text_scores(net, ids))]
+                yield pa.record_batch([*place, *found, pa.ListArray.from_arrays(offsets, pa.array(a[at])), pa.ListArray.from_arrays(offsets, pa.array(b[at]))], names)
+                seq += n
+
+    groups = corpus.where(F.col("kind") >= IDS).select("kind", "n", "ids", "doc_ids", "sizes", "numbers", "hashes")
+    scored = written(groups.mapInArrow(run, "part int, seq long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, a array<bigint>, b array<int>"), "scored")
+    remove(corpus)
     lookups = scored.select("part", "seq", F.explode(F.arrays_zip("a", "b")).alias("w")).select("part", "seq", "w.a", "w.b")
     words = counts.where(F.col("kind") == WORD).select("a", "b", "n")
     sums = lookups.join(words.hint("merge"), ["a", "b"], "left").groupBy("part", "seq").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.count("n").alias("found"))

@@ -1,12 +1,15 @@
 """Nearest neighbours, language-model scores and the pipeline."""
 
+import base64
 import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import tiktoken
 from llm_cases import DATA, ODD
 from test_near_copies import slow_kept
 from test_text_operators import slow_spans, slow_tags, words
@@ -156,6 +159,42 @@ def test_language_model_odd_rows(spark, clashing, no_docs):
     assert alone.count() == 1
 
 
+def test_op10_reads_every_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    n = docs.count()
+    scored = lm.score(docs.mapInArrow(counted, docs.schema), tokenizer_path("byte_bpe_multi_50k.tiktoken"), 50_256, 50_257)
+    assert scored.count() == n == read.value
+
+
+@pytest.mark.parametrize("group", [lm.GROUP, 100])
+def test_groups_hold_the_words_and_ids_of_each_text(group, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP", group)
+    rng = np.random.default_rng(5)
+    valid = [b"", None, b"  a  B c ", b"\t\n\x0b\x0c\r", b"a\x1cb \x1dc", "É ẞ \u00a0x\u0085 \u3000 \U0001f642 a".encode(), b"x" * 500 + b" <|endoftext|> It's 12-3", b"\x00 \x00b"]
+    for texts in (valid, [*valid, *(rng.integers(0, 256, 90, np.uint8).tobytes() for _ in range(20))]):
+        column, words = pa.array(texts, pa.binary()), lm.Words(lm._encode(tokenizer_path("byte_bpe_multi_50k.tiktoken")), 50_256, 1000)
+        with open(tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+            plain = tiktoken.Encoding("plain", pat_str=r"[\s\S]+", mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+        at = 0
+        for own in lm._groups(column):
+            different, places, lengths = lm._numbered(column.slice(own.start, own.stop - own.start))
+            assert own.start == at and len(set(different)) == len(different)
+            at = own.stop
+            want = [w for t in texts[own] for w in [*(t or b"").lower().split(), None]]
+            assert [different[i - 1] if i else None for i in places.tolist()] == want
+            assert lengths.tolist() == [len((t or b"").split()) + 1 for t in texts[own]]
+            numbers = np.concatenate([[0], words.numbers([different])]).astype(int)[places]
+            assert words.ids(numbers).tolist() == [i for w in want for i in ([50_256] if w is None else plain._encode_single_piece(b" " + w))]
+        assert at == len(texts)
+
+
 def small_model():
     rng = np.random.default_rng(0)
     sample = [np.append(rng.integers(0, 30, rng.integers(5, 90)), 49).astype(np.int32) for _ in range(120)]
