@@ -168,13 +168,16 @@ class Attention:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[n].ravel() for n in sorted(self.p)]).astype(np.float64)
 
-    def set_flat(self, x: np.ndarray) -> None:
+    def shaped(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Parts of x by parameter, in the order of flat()."""
         out, at = {}, 0
         for n in sorted(self.p):
-            size = self.p[n].size
-            out[n] = x[at : at + size].reshape(self.p[n].shape).astype(np.float32)
-            at += size
-        self.set(out)
+            out[n] = x[at : at + self.p[n].size].reshape(self.p[n].shape)
+            at += self.p[n].size
+        return out
+
+    def set_flat(self, x: np.ndarray) -> None:
+        self.set(self.shaped(x.astype(np.float32)))
 
     def for_training(self) -> Attention:
         """A copy without what only scoring needs."""
@@ -192,7 +195,11 @@ class Attention:
         """
         out, bias = np.zeros(len(target), np.float32), self._bias(SCORED)
         q, k, value = np.ascontiguousarray(self.q), np.ascontiguousarray(self.k), np.hstack([self.v, np.ones((len(self.v), 1), np.float32)])
-        ones, at, n = np.ones(CLASSES, np.float32), self.rows[ids], len(ids) // SCORED - 1
+        ones, at, n = np.ones(CLASSES, np.float32), self.rows[ids].astype(np.intp), len(ids) // SCORED - 1
+        safe = np.maximum(target, 0)
+        got = np.take(self.inside.ravel(), at * self.inside.shape[1] + self.columns[safe])
+        got += self.extra[safe]
+        of, row = self.classes[safe], np.arange(0, batch * SCORED * CLASSES, CLASSES)
         longest = lambda table: float(np.sqrt((table.astype(np.float64) ** 2).sum(1).max()))
         bounded = longest(q) * longest(k) < _MOST  # no product can need cutting
 
@@ -205,7 +212,7 @@ class Attention:
         for i in range(0, n, batch):
             count = min(batch, n - i)
             own = slice((i + 1) * SCORED, (i + 1 + count) * SCORED)
-            here, y = at[own], target[own]
+            here = at[own]
             z = np.take(self.base, here, axis=0)
             if attend:
                 places = at[i * SCORED : own.stop]
@@ -218,20 +225,21 @@ class Attention:
                 np.exp(s, out=s)
                 a = np.matmul(s, shown(value, places, count)).reshape(-1, DIM + 1)  # the last column adds up the weights
                 z += (a[:, :DIM] / a[:, DIM:]) @ self.p["w"]
-            safe = np.maximum(y, 0)
-            likely = z[np.arange(len(safe)), self.classes[safe]]
+            got[own] += z.ravel()[row[: len(here)] + of[own]]
             np.exp(z, out=z)
-            got = likely - np.log(z @ ones) + self.inside[here, self.columns[safe]] + self.extra[safe]
-            out[own] = np.where(y >= 0, got, 0)
+            out[own] = np.log(z @ ones)
+        np.subtract(got, out, out=out)
+        out[target < 0] = 0
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Gradients of the mean cross-entropy of the next id's class over training windows, and that mean."""
-        n, at, target = len(x), self.rows[x.ravel()], y.ravel()
-        met = np.zeros(len(self.embedded), bool)
-        met[at] = True
-        different, place = np.flatnonzero(met), np.cumsum(met)
-        qkv = np.take(self.embedded[different] @ self.p["qkv"], place[at] - 1, axis=0).reshape(n, WINDOW, 3 * DIM)
+        n, at, target = len(x), self.rows[x.ravel()].astype(np.intp), y.ravel()
+        place = np.zeros(len(self.embedded), np.intp)
+        place[at] = 1
+        different = np.flatnonzero(place)
+        place[different] = np.arange(len(different))
+        qkv = np.take(self.embedded[different] @ self.p["qkv"], place[at], axis=0).reshape(n, WINDOW, 3 * DIM)
         q, k, v = qkv[:, :, :DIM], qkv[:, :, DIM : 2 * DIM], qkv[:, :, 2 * DIM :]
         s = np.matmul(q, k.transpose(0, 2, 1))
         np.clip(s, -_MOST, _MOST, out=s)
@@ -240,20 +248,21 @@ class Attention:
         over = 1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32))
         a = np.matmul(s, v).reshape(-1, DIM)
         a *= over[:, None]
-        z = a @ self.p["w"]
-        z += np.take(self.base, at, axis=0)
+        z = np.take(self.base, at, axis=0)
+        z += a @ self.p["w"]
         np.exp(z, out=z)
         real = target >= 0
         unit = np.float32(1 / max(1, np.count_nonzero(real)))
         own = np.arange(0, z.size, CLASSES) + self.classes[target]
-        scale = 1 / (z @ np.ones(CLASSES, np.float32))
+        total = z @ np.ones(CLASSES, np.float32)
         share = real * unit
-        loss = -float(np.log(np.maximum(z.ravel()[own] * scale, 1e-30)) @ share)
-        z *= (scale * share)[:, None]
-        z.ravel()[own] -= share
+        loss = -float(np.log(np.maximum(z.ravel()[own] / total, 1e-30)) @ share)
+        z.ravel()[own] -= total
+        share /= total  # z times share are the gradients of the logits; the narrower arrays are multiplied instead
         da = z @ self.p["w"].T
-        dot = np.einsum("ij,ij->i", da, a) * over
-        da *= over[:, None]
+        da *= (share * over)[:, None]
+        dot = np.einsum("ij,ij->i", da, a)
+        a *= share[:, None]
         da = da.reshape(n, WINDOW, DIM)
         ds = np.matmul(da, v.transpose(0, 2, 1))
         ds -= dot.reshape(n, WINDOW, 1)
@@ -269,19 +278,24 @@ class Attention:
 
 
 class Adam:
-    """Steps on a model's parameters."""
+    """Steps on a model's parameters, of which it takes a copy: models that had them in common keep theirs."""
 
     def __init__(self, model: Attention, rate: float):
         self.model, self.rate, self.steps = model, rate, 0
-        self.m = {n: np.zeros_like(x) for n, x in model.p.items()}
-        self.s = {n: np.zeros_like(x) for n, x in model.p.items()}
+        self.x = model.flat().astype(np.float32)
+        self.m, self.s = np.zeros_like(self.x), np.zeros_like(self.x)
+        model.p = model.shaped(self.x)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> float:
         grad, loss = self.model.gradients(x, y)
         self.steps += 1
-        for n, g in grad.items():
-            self.m[n] = 0.9 * self.m[n] + 0.1 * g
-            self.s[n] = 0.99 * self.s[n] + 0.01 * g * g
-            by = (self.m[n] / (1 - 0.9**self.steps)) / (np.sqrt(self.s[n] / (1 - 0.99**self.steps)) + 1e-8)
-            self.model.p[n] = (self.model.p[n] - self.rate * min(1.0, self.steps / 10) * by).astype(np.float32)
+        g = np.concatenate([grad[n].ravel() for n in sorted(grad)])
+        self.m += np.float32(0.1) * (g - self.m)
+        g *= g
+        self.s += np.float32(0.01) * (g - self.s)
+        by = np.sqrt(self.s / np.float32(1 - 0.99**self.steps))
+        by += np.float32(1e-8)
+        np.divide(self.m, by, out=by)
+        by *= np.float32(self.rate * min(1.0, self.steps / 10) / (1 - 0.9**self.steps))
+        self.x -= by
         return loss

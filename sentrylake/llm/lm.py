@@ -7,7 +7,8 @@ Two scores of a text's lower-case words and one end:
 
 Passes:
  1. All texts, whole, become groups of documents that are written down: their ids, the hashes (95 bits) of the group's
-    words, and which word stands where. Of the training documents, words and ids are counted by grouped sums.
+    words, and which word stands where. Of the training documents, words and ids are counted: each task's counts
+    are dealt to BUCKETS by key as blocks of arrays, and those of a bucket are added up together.
  2. Over the training documents' ids, all of them: the pair table, of a fixed size, which gives the classes and embeddings.
  3. Training of the attention in ROUNDS rounds: the tasks' parameters after gradient steps through their share are
     averaged. Every window of every training document teaches, once.
@@ -47,6 +48,7 @@ READ, SCORE = 500_000, 250_000  # words in a worker's memo: while it reads, and
 PIECE = 1 << 18  # ids of a long document, or of a group, that are taught or scored at once
 GROUP = 1_200_000  # bytes of the documents of a group, if it has several
 WORD, ID, END, IDS, HELD = range(5)  # IDS and HELD: groups of training and of held-out documents
+BUCKETS = 256  # of counts: a task that adds up holds its share of all blocks, and what it makes of one bucket
 _COUNT = "kind byte, a long, b int, n long, ids binary"
 _GROUP = "doc_ids array<long>, sizes binary, numbers binary, hashes binary"
 
@@ -181,10 +183,39 @@ def _numbered(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), out, lengths
 
 
+def _blocks(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Counts n of keys (a, b): the buckets that have any, how many, and the arrays of each in one block."""
+    a = a.astype(np.int64)
+    bucket = (a & (BUCKETS - 1)).astype(np.int16)
+    order, sizes = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=BUCKETS)
+    columns, stops, at = (a[order], n[order].astype(np.int64), b[order].astype(np.int32)), np.cumsum(sizes), np.flatnonzero(sizes)
+    return at, sizes[at], [b"".join(x[stops[i] - sizes[i] : stops[i]].tobytes() for x in columns) for i in at.tolist()]
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks (kind, a, ids), all there are of each bucket, to (kind, a, b, n): a bucket's keys and their counts added up."""
+    held: dict[tuple[int, int], list[pa.Buffer]] = {}
+    for batch in batches:
+        for kind, bucket, block in zip(batch["kind"].to_pylist(), batch["a"].to_pylist(), batch["ids"], strict=True):
+            held.setdefault((kind, bucket), []).append(block.as_buffer())
+    for kind, bucket in list(held):
+        parts = [(x, x.size // 20) for x in held.pop((kind, bucket))]
+        a, n, b = (np.concatenate([np.frombuffer(x, t, m, k * m) for x, m in parts]) for t, k in ((np.int64, 0), (np.int64, 8), (np.int32, 16)))
+        order = np.argsort(a)
+        same = np.diff(a[order]) == 0
+        if (np.diff(b[order])[same] != 0).any():  # the same long in two keys
+            order = np.lexsort((b, a))
+            same = np.diff(a[order]) == 0
+        first = np.flatnonzero(np.concatenate([[True], ~same | (np.diff(b[order]) != 0)]))
+        own = order[first]
+        yield kind, a[own], b[own], np.add.reduceat(n[order], first)
+
+
 def read_corpus(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFrame:
     """One pass over the texts of docs (body; doc_id and held if it has them): (kind, a, b, n, ids, and of a group more).
 
-    Counts of word hashes, of ids and of ends in each task, without the held-out documents; and groups of documents
+    Counts of word hashes, of ids and of ends in each task, without the held-out documents, in blocks of many: a their
+    bucket, n how many, ids the keys and counts (summed() adds them up); and groups of documents
     with their ids, two or four bytes each: a the id before them, b the round of training that they belong to, sizes
     the words (ends with them) and the ids of each document, numbers and hashes as _numbered has them.
     """
@@ -193,8 +224,9 @@ def read_corpus(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFr
     names = ["kind", "a", "b", "n", "ids", *more]
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(len(a), t) for t in (pa.binary(), *more.values())]
-        return pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64)), *none], names)
+        at, sizes, blocks = _blocks(a, b, n)
+        none = [pa.nulls(len(at), t) for t in more.values()]
+        return pa.record_batch([pa.array(np.full(len(at), kind, np.int8)), pa.array(at), pa.array(np.zeros(len(at), np.int32)), pa.array(sizes), pa.array(blocks, pa.binary()), *none], names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(this_run, path, end, READ)
@@ -231,12 +263,25 @@ def read_corpus(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFr
         yield hand_on()
         at = np.flatnonzero(ids)
         yield rows(ID, at, np.zeros(len(at)), ids[at])
-        yield rows(END, np.zeros(1), np.zeros(1), np.array([n_docs]))
+        yield rows(END, np.zeros(1, np.int64), np.zeros(1), np.array([n_docs]))
 
     absent = {c: x for c, x in (("doc_id", F.lit(None).cast("long")), ("held", F.lit(False))) if c not in docs.columns}
     return docs.withColumns(absent).select("doc_id", "body", "held").mapInArrow(read, f"{_COUNT}, {_GROUP}")
 
 
+def summed(corpus: DataFrame) -> DataFrame:
+    """kind, a, b, n: the counts of all tasks added up."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _OPEN.clear()  # the texts are read
+        for kind, *columns in _added(batches):
+            for i in range(0, len(columns[0]), 1 << 18):
+                a, b, n = (x[i : i + (1 << 18)] for x in columns)
+                yield pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(n)], ["kind", "a", "b", "n"])
+
+    return corpus.where(F.col("kind") < IDS).select("kind", "a", "ids").repartition("a").mapInArrow(add, "kind byte, a long, b int, n long")
+
+
 def _unpacked(raw: pa.Scalar, n: int) -> np.ndarray:
     """n unsigned numbers of two or four bytes."""
     data = raw.as_buffer()
@@ -263,14 +308,17 @@ def pair_counts(pieces: DataFrame, layout: Layout, end: int) -> np.ndarray:
             first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
             total[cells[first]] += np.diff(first, append=len(cells)).astype(np.int32)
         at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 20):
-            own = at[i : i + (1 << 20)]
-            yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(total[own].astype(np.int64))], ["a", "n"])
+        buckets, _, blocks = _blocks(at, np.zeros(len(at)), total[at])
+        yield pa.record_batch([pa.array(np.zeros(len(blocks), np.int8)), pa.array(buckets), pa.array(blocks, pa.binary())], ["kind", "a", "ids"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, at, _, n in _added(batches):
+            yield pa.record_batch([pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([n.astype(np.float32).tobytes()], pa.binary())], ["at", "n"])
 
-    sums = written(pieces.select("a", "n", "ids").mapInArrow(count, "a int, n long").groupBy("a").agg(F.sum("n").cast("float").alias("n")), "cells")
+    found = pieces.select("a", "n", "ids").mapInArrow(count, "kind byte, a long, ids binary").repartition("a").mapInArrow(add, "at binary, n binary").toArrow()
     out = np.zeros(size, np.float32)
-    found = sums.toArrow()
-    out[found["a"].to_numpy()] = found["n"].to_numpy()
+    for at, n in zip(found["at"], found["n"], strict=True):
+        out[np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(n.as_buffer(), np.float32)
     return out
 
 
@@ -335,8 +383,12 @@ class Frequent:
     """Counts of the frequent words, by hash; of bounded size."""
 
     def __init__(self, counts: DataFrame):
+        sizes, self.total = {}, 0
         words = counts.where(F.col("kind") == WORD)
-        sizes = {r["k"]: r["count"] for r in words.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()}  # at most 63 rows
+        for r in words.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect():  # at most 63 rows
+            sizes[r["k"]] = r["rows"]
+            self.total += r["n"]
+        self.distinct = sum(sizes.values())
         least, total = 64, 0
         for k in sorted(sizes, reverse=True):
             if total + sizes[k] > FREQUENT:
@@ -392,13 +444,11 @@ def score(docs: DataFrame, path: str, end: int, vocabulary: int, fold: int = 10,
     held = F.when(F.col("doc_id").isNull(), False).otherwise(remainder(F.col("doc_id"), fold) == held_out)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).withColumn("held", held)
     corpus = written(read_corpus(rows, path, end, vocabulary), "corpus")
-    counts = written(corpus.where(F.col("kind") < IDS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "counts")
+    counts = written(summed(corpus), "counts")
     model = fit(corpus, counts, vocabulary, end)
     frequent = Frequent(counts)
-    facts = {r["kind"]: (r["n"], r["rows"]) for r in counts.where(F.col("kind").isin(WORD, END)).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
-    ends = facts.get(END, (0, 0))[0]
-    total = facts.get(WORD, (0, 0))[0] + ends
-    distinct = facts.get(WORD, (0, 0))[1] + (ends > 0)
+    ends = sum(r["n"] for r in counts.where(F.col("kind") == END).select("n").collect())  # one row, or none
+    total, distinct = frequent.total + ends, frequent.distinct + (ends > 0)
     floor, end_log = math.log10(total + 0.1 * (distinct + 1)), math.log10(ends + 0.1)
     sent = spark.sparkContext.broadcast((model, frequent))
 

@@ -149,6 +149,42 @@ def test_every_window_of_every_training_text_teaches(spark):
     assert lm.train(model, pieces, 50_256) == sum(len(attention.training_windows(f, 50_256, layout.begin, head)[0]) for f, head in flat)
 
 
+def test_tasks_start_from_the_parameters_of_the_round():
+    model, sample = small_model()
+    kept = model.flat()
+    x, y = attention.training_windows(np.concatenate(sample), 49, model.begin)
+    first = []
+    for _ in range(2):
+        own = model.for_training()
+        attention.Adam(own, 0.01).step(x, y)
+        first.append(own.flat())
+    assert (model.flat() == kept).all() and (first[0] == first[1]).all() and (first[0] != kept).any()
+
+
+def test_counts_go_in_blocks_and_add_up(spark):
+    corpus = written(lm.read_corpus(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("CAST(text AS BINARY) AS body"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), 50_256, 50_257), "corpus")
+    tasks = max(corpus.where(f"kind = {lm.END}").count(), 1)
+    assert corpus.where(f"kind < {lm.IDS}").count() <= tasks * (2 * lm.BUCKETS + 1)
+    words = Counter(w for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() for w in (r.text or "").encode().lower().split())
+    a, b = lm._hashes(list(words))
+    got = {(r.kind, r.a, r.b): r.n for r in lm.summed(corpus).collect()}
+    assert {k[1:]: n for k, n in got.items() if k[0] == lm.WORD} == dict(zip(zip(a.tolist(), b.tolist(), strict=True), words.values(), strict=True))
+    assert got[lm.END, 0, 0] == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_blocks_tell_keys_of_the_same_long_apart():
+    rng = np.random.default_rng(2)
+    want, batches = Counter(), []
+    for _ in range(3):
+        a, b, n = rng.integers(-300, 300, 2_000), rng.integers(0, 3, 2_000), rng.integers(1, 9, 2_000)
+        for k in zip(a.tolist(), b.tolist(), n.tolist(), strict=True):
+            want[k[:2]] += k[2]
+        buckets, _, blocks = lm._blocks(a, b, n)
+        batches.append(pa.record_batch([pa.array(np.full(len(blocks), 2, np.int8)), pa.array(buckets), pa.array(blocks, pa.binary())], ["kind", "a", "ids"]))
+    got = [((x, y), z) for kind, *c in lm._added(iter(batches)) for x, y, z in zip(*map(np.ndarray.tolist, c), strict=True) if kind == 2]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_language_model_odd_rows(spark, clashing, no_docs):
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     rows = lm.score(clashing, path, 50_256, 50_257).collect()
