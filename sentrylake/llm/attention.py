@@ -63,11 +63,11 @@ def training_windows(flat: np.ndarray, end: int, begin: int, head: int | None =
         stop = np.append(stop, len(flat))
     start = np.concatenate([[0], stop[:-1]])
     counts = -(-(stop - start) // WINDOW)
-    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = (np.repeat(start, counts) + nth * WINDOW)[:, None] + np.arange(WINDOW)
-    real = at < np.repeat(stop, counts)[:, None]
-    at = np.minimum(at, len(flat) - 1)
-    return np.where(real, before[at], begin).astype(np.int32), np.where(real, flat[at], -1).astype(np.int32)
+    at = np.repeat((np.cumsum(counts) - counts) * WINDOW - start, stop - start)  # how far a document's ids move
+    at += np.arange(len(flat))
+    x, y = np.full(int(counts.sum()) * WINDOW, begin, np.int32), np.full(int(counts.sum()) * WINDOW, -1, np.int32)
+    x[at], y[at] = before, flat
+    return x.reshape(-1, WINDOW), y.reshape(-1, WINDOW)
 
 
 class Layout:

@@ -151,6 +151,12 @@ def _words(run: str, path: str, end: int, keep: int) -> Words:
     return _OPEN[run]
 
 
+def _let_go() -> None:
+    """Once the texts are read: a worker's words, and the memory that Arrow keeps for later."""
+    _OPEN.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _groups(texts: pa.Array) -> Iterator[slice]:
     """Places of consecutive texts of about GROUP bytes together."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -273,7 +279,7 @@ def summed(corpus: DataFrame) -> DataFrame:
     """kind, a, b, n: the counts of all tasks added up."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _OPEN.clear()  # the texts are read
+        _let_go()
         for kind, *columns in _added(batches):
             for i in range(0, len(columns[0]), 1 << 18):
                 a, b, n = (x[i : i + (1 << 18)] for x in columns)
@@ -304,9 +310,7 @@ def pair_counts(pieces: DataFrame, layout: Layout, end: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int32)  # a task's share of the ids is far below 2**31
         for flat, head in _pieces(batches):
-            cells = np.sort(sent.value.cells(previous(flat, end, layout.begin, head), flat))
-            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-            total[cells[first]] += np.diff(first, append=len(cells)).astype(np.int32)
+            np.add.at(total, sent.value.cells(previous(flat, end, layout.begin, head), flat).astype(np.intp), np.int32(1))
         at = np.flatnonzero(total)
         buckets, _, blocks = _blocks(at, np.zeros(len(at)), total[at])
         yield pa.record_batch([pa.array(np.zeros(len(blocks), np.int8)), pa.array(buckets), pa.array(blocks, pa.binary())], ["kind", "a", "ids"])
@@ -403,7 +407,9 @@ class Frequent:
         """log10(c + 0.1) of the words with these hashes, 0 (which it never is) if they aren't among the frequent."""
         if not len(self.a):
             return np.zeros(len(a))
-        at = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
+        order, at = np.argsort(a), np.empty(len(a), np.int64)
+        at[order] = np.searchsorted(self.a, a[order])  # in order, as each then begins where the one before it ended
+        np.minimum(at, len(self.a) - 1, out=at)
         out = np.where((self.a[at] == a) & (self.b[at] == b), self.log[at], 0.0)
         twins = np.flatnonzero((self.a[at] == a) & (self.b[at] != b))  # the same long in two words
         for i in twins.tolist():
@@ -453,6 +459,7 @@ def score(docs: DataFrame, path: str, end: int, vocabulary: int, fold: int = 10,
     sent = spark.sparkContext.broadcast((model, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go()
         net, known = sent.value
         part, seq = TaskContext.get().partitionId(), 0
         names = ["part", "seq", "doc_id", "held_out", "n_tokens", "known", "base", "score", "a", "b"]
